@@ -166,6 +166,26 @@ def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ER
     return spark.createDataFrame([], SCHEMA) if found is None else found
 
 
+def without_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item."""
+    columns = docs.columns
+    schema = docs.schema
+    for block in item_blocks(items, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            import pyarrow as pa
+
+            matcher = Matcher(sent.value, error_rate, min_chars)
+            for batch in batches:
+                clean = [next(matcher.matches(normalise(text)), None) is None for text in as_bytes(batch.column("_text"))]
+                kept = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))], columns)
+                yield kept.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -336,6 +336,8 @@ def emit(docs: R.Documents, gone: np.ndarray, table: pa.Table, with_rest: bool)
     columns = [pa.array(docs.ids, pa.int64()), pa.array([len(t) for t in docs.texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
     names = ["doc_id", "n_bytes", "spans", "kept"]
     if with_rest:
+        # As text again: a character that was cut goes whole.
+        columns[3] = pa.array([k.decode("utf-8", "ignore").encode("utf-8") for k in kept], pa.binary())
         columns.append(table["rest"].take(pa.array(docs.order)))
         names.append("rest")
     return pa.table(columns, names)
@@ -344,6 +346,8 @@ def emit(docs: R.Documents, gone: np.ndarray, table: pa.Table, with_rest: bool)
 def remove_repeats(scratch: Scratch, docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes), kept (the remaining bytes), [rest] of every document.
 
+    With ``rest`` (columns that travel along as one struct) what is left of a
+    character that was cut goes too, so that ``kept`` is text.
     The frame reads tables of ``scratch``: settle or write it before they go.
     """
     staged = R.Runs(scratch, docs, rest=rest)

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._common import as_bytes, settle
 
@@ -244,27 +245,33 @@ def totals(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
-def evidence(docs: DataFrame, model, keep: set[int] | None = None) -> DataFrame:
-    """doc_id and the length-normalised log-likelihood ratio of every document (or of those in ``keep``)."""
+def evidence(docs: DataFrame, model, keep: set[int] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``carry`` (doc_id by default) and the length-normalised log-likelihood ratio of every document (or of those in ``keep``)."""
+    carry = carry or ["doc_id"]
 
     def run(batches):
         import pyarrow as pa
 
         model_here, known = Model(**model.value), {}
         for batch in batches:
-            docs_here, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
-            ids, out = [], []
-            for i in range(0, len(docs_here), 256):
-                part = [(d, set(words_of(t))) for d, t in zip(docs_here[i : i + 256], texts[i : i + 256]) if keep is None or d in keep]
+            ids, texts = batch.column("_id").to_pylist(), as_bytes(batch.column("_text"))
+            chosen, out = [], []
+            for i in range(0, len(ids), 256):
+                at = [j for j in range(i, min(i + 256, len(ids))) if keep is None or ids[j] in keep]
+                part = [set(words_of(texts[j])) for j in at]
                 if len(known) > CACHE:
                     known.clear()
-                new = list({w for _, ws in part for w in ws if w not in known})
+                new = list({w for ws in part for w in ws if w not in known})
                 known.update(zip(new, model_here.ratios(new).tolist()))
-                ids += [d for d, _ in part]
-                out += [sum([known[w] for w in ws]) / (len(ws) + PRIOR_WORDS) for _, ws in part]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], ["doc_id", "evidence"])
+                chosen += at
+                out += [sum([known[w] for w in sorted(ws)]) / (len(ws) + PRIOR_WORDS) for ws in part]
+            taken = pa.array(chosen, pa.int64())
+            columns = [batch.column(i).take(taken) for i in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64())], [*carry, "_evidence"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, evidence double")
+    source = docs.select(*carry, F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    schema = StructType([*docs.select(*carry).schema.fields, StructField("_evidence", DoubleType())])
+    return source.mapInArrow(run, schema)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -283,23 +290,23 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50)
     return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, evidence, score (0 to 1) and predicted (score >= ``threshold``) of every row of ``docs``."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+    """``carry`` (doc_id by default), score (0 to 1) and predicted (score >= ``threshold``) of every row of ``docs``."""
     spark = docs.sparkSession
     train, _ = bounded_labels(labels, 0, max_docs)
     tune, stands_for = bounded_labels(labels, 2, max_docs)
     counts, shared = gram_counts(docs, train)
     model = spark.sparkContext.broadcast(vars(kneser_ney(counts, shared)))
     rows = evidence(docs, model, set(tune)).toArrow()
-    x = rows["evidence"].to_numpy()
+    x = rows["_evidence"].to_numpy()
     y = np.array([tune[d] for d in rows["doc_id"].to_pylist()], dtype=float)
     if 0 < y.sum() < len(y):
         slope, intercept = logistic(x, y, stands_for[y.astype(int)])
     else:
         slope, intercept = 0.0, -30.0
-    score = 1 / (1 + F.exp(-(F.col("evidence") * slope + intercept)))
-    out = evidence(docs, model).withColumn("score", score)
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = 1 / (1 + F.exp(-(F.col("_evidence") * slope + intercept)))
+    out = evidence(docs, model, carry=carry).withColumn("score", score)
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_evidence")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
