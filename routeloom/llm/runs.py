@@ -25,7 +25,7 @@ from ._common import Scratch
 
 RUN_BYTES = 8 << 20
 #: Window starts that are sampled at a time.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 16
 QUESTIONS = "part int, run int, body binary"
 REPLIES = "run int, kind int, part int, body binary"
 
@@ -38,7 +38,7 @@ class Runs:
         total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
         self.scratch = scratch
         self.count = max(1, -(-total // run_bytes))
-        self.parts = max(1, -(-self.count // 4))
+        self.parts = max(1, -(-self.count // 2))
         columns = [F.col(id_col).cast("long").alias("doc_id"), text.alias("text")]
         if rest:
             columns.append(F.struct(*rest).alias("rest"))

@@ -47,12 +47,12 @@ class WordHashes:
         if len(known) > self.limit:
             known.clear()
         try:
-            return np.array([known[w] for w in own], dtype=np.uint64)
+            return np.fromiter(map(known.__getitem__, own), dtype=np.uint64, count=len(own))
         except KeyError:
             for w in own:
                 if w not in known:
                     known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in own], dtype=np.uint64)
+            return np.fromiter(map(known.__getitem__, own), dtype=np.uint64, count=len(own))
 
 
 def stretch_hashes(units: np.ndarray, size: int) -> np.ndarray:

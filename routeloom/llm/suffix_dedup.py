@@ -156,7 +156,7 @@ def front_decoded(body: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     own = np.arange(width) >= shared[:, None]
     keys[own] = rest
     # A byte that isn't there is that of the last row that has it.
-    last = np.where(own, np.arange(n)[:, None], 0)
+    last = np.where(own, np.arange(n, dtype=np.int32)[:, None], 0)
     last = np.maximum.accumulate(last, axis=0)
     return keys[last, np.arange(width)], shared, least
 
@@ -232,8 +232,8 @@ def classes(shared: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(shared < length)
 
 
-def least_by_window(keys: np.ndarray, shared: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """(rows, starts): the least doc_id among the rows that agree on the window that starts so many bytes before the place.
+def least_by_window(keys: np.ndarray, shared: np.ndarray, least: np.ndarray):
+    """For each number of bytes before the place that a window can start at: the least doc_id among the rows that agree on that window.
 
     ``keys`` are sorted and distinct; where the window isn't inside the document: the largest id.
     """
@@ -243,21 +243,20 @@ def least_by_window(keys: np.ndarray, shared: np.ndarray, least: np.ndarray) ->
     backwards = np.ascontiguousarray(np.concatenate([keys[:, WINDOW : WINDOW + before], np.ones((n, 1), np.uint8)], axis=1))
     order = np.argsort(backwards.view(f"S{before + 1}").ravel(), kind="stable")
     shared_left = common(backwards[order])
-    out = np.full((n, before + 1), np.iinfo(np.int64).max)
     for start in range(before + 1):
+        out = np.full(n, np.iinfo(np.int64).max)
         inside = np.flatnonzero((left >= start) & (right >= WINDOW - start))
-        if not len(inside):
-            continue
-        a = classes(shared, WINDOW - start)
-        b = np.empty(n, dtype=np.int64)
-        b[order] = classes(shared_left, start) if start else 1
-        key = a[inside] * (n + 1) + b[inside]
-        by = np.argsort(key, kind="stable")
-        ranked = key[by]
-        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        group = np.minimum.reduceat(least[inside][by], first)
-        out[inside[by], start] = np.repeat(group, np.diff(np.r_[first, len(by)]))
-    return out
+        if len(inside):
+            a = classes(shared, WINDOW - start)
+            b = np.empty(n, dtype=np.int64)
+            b[order] = classes(shared_left, start) if start else 1
+            key = a[inside] * (n + 1) + b[inside]
+            by = np.argsort(key, kind="stable")
+            ranked = key[by]
+            first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+            group = np.minimum.reduceat(least[inside][by], first)
+            out[inside[by]] = np.repeat(group, np.diff(np.r_[first, len(by)]))
+        yield start, out
 
 
 def answer_suffixes(bodies: list[bytes]) -> list[bytes]:
@@ -267,7 +266,7 @@ def answer_suffixes(bodies: list[bytes]) -> list[bytes]:
     width = Suffixes.WIDTH
     decoded = [front_decoded(b, width) for b in bodies]
     sequences = [np.ascontiguousarray(k).view(f"V{width}").ravel().tolist() for k, _, _ in decoded]
-    source, prefix = merge([[bytes(x) for x in s] for s in sequences], [s.tolist() for _, s, _ in decoded], width)
+    source, prefix = merge(sequences, [s.tolist() for _, s, _ in decoded], width)
     del sequences
     source, prefix = np.array(source, dtype=np.int64), np.array(prefix, dtype=np.int64)
     offsets = np.cumsum([0] + [len(k) for k, _, _ in decoded])
@@ -282,10 +281,9 @@ def answer_suffixes(bodies: list[bytes]) -> list[bytes]:
     distinct = np.cumsum(new) - 1
     keys = np.concatenate([d[0] for d in decoded])[row[new]]
     lowest = np.minimum.reduceat(least[row], np.flatnonzero(new))
-    group = least_by_window(keys, np.where(np.arange(new.sum()) > 0, prefix[new], 0), lowest)
     bits = np.zeros(len(row), dtype=np.int64)
-    for start in range(group.shape[1]):
-        bits |= (group[distinct, start] < least[row]).astype(np.int64) << start
+    for start, lowest_there in least_by_window(keys, prefix[new], lowest):
+        bits |= (lowest_there[distinct] < least[row]).astype(np.int64) << start
     in_order = np.empty(len(row), dtype=np.int64)
     in_order[row] = bits
     pack = zstandard.ZstdCompressor(level=1)
