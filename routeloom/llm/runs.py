@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch
 
-RUN_BYTES = 8 << 20
+#: Text of a run; executors with more memory can take longer ones.
+RUN_BYTES = 4 << 20
 #: Window starts that are sampled at a time.
 SEGMENT = 1 << 16
 QUESTIONS = "part int, run int, body binary"
@@ -45,7 +46,7 @@ class Runs:
         # The partition spreads equal rows; a retried task still sends each row where it was.
         run = F.expr(f"cast(pmod(hash_, {self.count}) as int)")
         staged = docs.select(*columns, F.xxhash64(id_col, text_col, F.spark_partition_id()).alias("hash_")).withColumn("run", run).drop("hash_")
-        self.table = scratch.bucketed(staged, "runs", "run", max(1, -(-self.count // 4)))
+        self.table = scratch.bucketed(staged, "runs", "run", max(1, -(-self.count // 3)))
 
     def ask(self, name: str, keys: Callable, answer: Callable, kind: int, replies: DataFrame | None = None) -> DataFrame:
         """One exchange: ``keys(docs, replies)`` gives (part, body) of a run; ``answer(bodies)`` replies to each body of a part, in order."""
@@ -60,6 +61,7 @@ class Runs:
             order = np.argsort(runs, kind="stable")
             bodies = table["body"].to_pylist()
             replies = answer([bodies[i] for i in order])
+            release()
             n = len(order)
             return pa.table([pa.array(runs[order], pa.int32()), pa.array([kind] * n, pa.int32()), table["part"].cast(pa.int32()), pa.array(replies, pa.binary())], ["run", "kind", "part", "body"])
 
@@ -71,11 +73,13 @@ class Runs:
         if replies is None:
 
             def alone(key, table):
+                release()
                 return function(key[0].as_py(), table, {})
 
             return self.table.groupBy("run").applyInArrow(alone, schema)
 
         def together(key, table, heard):
+            release()
             by_kind: dict[int, dict[int, bytes]] = {}
             for kind, part, body in zip(heard["kind"].to_pylist(), heard["part"].to_pylist(), heard["body"].to_pylist()):
                 by_kind.setdefault(kind, {})[part] = body
@@ -85,6 +89,11 @@ class Runs:
         return self.table.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(together, schema)
 
 
+def release() -> None:
+    """Give unused Arrow memory back, so that one worker's peaks don't add up."""
+    pa.default_memory_pool().release_unused()
+
+
 class Documents:
     """The rows of a run in an order that every pass sees alike."""
 
