@@ -27,6 +27,7 @@ from ._common import Scratch
 RUN_BYTES = 4 << 20
 #: Window starts that are sampled at a time.
 SEGMENT = 1 << 16
+SPREAD = np.uint64(0x632BE59BD9B4E019)
 QUESTIONS = "part int, run int, body binary"
 REPLIES = "run int, kind int, part int, body binary"
 

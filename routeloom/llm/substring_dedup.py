@@ -75,14 +75,14 @@ class Windows:
             lengths = end - start
             own_phrases = stretch_hashes(joined, PHRASE)
             least, chosen = R.window_minima(own_phrases, lengths, window, PHRASE)
-            places.append(own_phrases[chosen])
+            places.append(R.mixed(own_phrases[chosen] + R.SPREAD))  # least hashes are small; mixed again they fill all parts
             at = np.flatnonzero(least)
             first = np.cumsum(lengths) - lengths
             own = np.searchsorted(first, at, side="right") - 1
             docs.append(doc[own])
             starts.append(at - first[own] + start[own])
             hashes.append(stretch_hashes(joined, window)[at])
-            phrases.append(least[at])
+            phrases.append(R.mixed(least[at] + R.SPREAD))
         empty = np.zeros(0, np.int64)
         self.doc = np.concatenate(docs) if docs else empty
         self.start = np.concatenate(starts) if docs else empty

@@ -57,7 +57,7 @@ def sampled(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
         own = np.searchsorted(first, at, side="right") - 1
         docs.append(doc[own])
         places.append(at - first[own] + start[own])
-        hashes.append(h[at])
+        hashes.append(R.mixed(h[at] + R.SPREAD))  # least hashes are small; mixed again they fill all parts
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
