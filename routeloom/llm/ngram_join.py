@@ -160,7 +160,10 @@ def stars(tiles: DataFrame) -> DataFrame:
 def crossing(tiles: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in a tile whose bitmaps allow a link.
 
-    ``tiles``: token, low, high (blocks), block, node, n, component, bitmap.
+    ``tiles``: token, anchor (its least node), low, high (blocks), block,
+    node, n, component, bitmap. Tiles of one group of documents mostly have
+    the same least node, so they come one after another and a pair that was
+    found in one isn't given again for the next.
     """
 
     def compare(rows: list[tuple]) -> set[tuple[int, int]]:
@@ -186,23 +189,28 @@ def crossing(tiles: DataFrame) -> DataFrame:
 
     def run(batches):
         tile, rows = None, []
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            columns = [batch.column(c).to_pylist() for c in ("token", "low", "high", "block", "node", "n", "component", "bitmap")]
-            for token, low, high, block, node, n, component, bits in zip(*columns):
-                if (token, low, high) != tile:
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "low", "high", "token", "block", "node", "n", "component", "bitmap")]
+            for anchor, low, high, token, block, node, n, component, bits in zip(*columns):
+                if (anchor, low, high, token) != tile:
                     if len(rows) > 1:
-                        found |= compare(rows)
-                    tile, rows = (token, low, high), []
+                        found |= compare(rows) - seen
+                    if tile and tile[:3] != (anchor, low, high):
+                        seen.clear()
+                    else:
+                        seen |= found
+                    tile, rows = (anchor, low, high, token), []
                 rows.append((block, node, n, component, bits, low == high))
             yield pairs(found)
         if len(rows) > 1:
-            yield pairs(compare(rows))
+            yield pairs(compare(rows) - seen)
 
     def pairs(found):
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    ordered = tiles.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node")
+    ordered = tiles.repartition("anchor", "low", "high").sortWithinPartitions("anchor", "low", "high", "token", "n", "node")
     return ordered.mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"])
 
 
@@ -266,11 +274,11 @@ def jaccard_components(scratch: Scratch, docs: DataFrame) -> DataFrame:
     # Tiles that still hold different components.
     placed = tiles.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = scratch.write(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low != high")
-    mixed = scratch.write(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("anchor"), F.count("*").alias("m")).where("low != high")
+    mixed = scratch.write(mixed.select("token", "anchor", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
     dealt = placed.join(mixed, "token").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "component")
+    dealt = dealt.select("token", "anchor", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "component")
     more = crossing(dealt.join(sets.select("node", "bitmap"), "node")).join(tried, ["a", "b"], "left_anti")
     more = scratch.write(verified(scratch.write(more, "crossing"), sets.select("node", "shingles")), "more_links")
     label = first
