@@ -12,8 +12,9 @@ so most documents have nothing left in their quarter and go no further.
 A tile holds the nodes that share such a shingle, in order of size; only
 nodes within the size band of one another are compared. First every node is
 compared with the smallest node of its band (a star, so a tile of m nodes
-gives fewer than m pairs), and the links make components. Then pairs of
-different components of a tile are compared by bitmap signatures: the bits
+gives fewer than m pairs), and the links make components; where a tile holds
+several, once more, with the node before it too. Then pairs of different
+components of a tile are compared by bitmap signatures: the bits
 that differ bound the overlap from above. What is left is decided by exact
 intersection of the sorted arrays. Pairs inside a component need no check, so
 large groups of near copies aren't expanded, and no candidate is dropped.
@@ -139,18 +140,27 @@ def linked(overlap, a, b):
     return (100 + PERCENT) * overlap >= PERCENT * (a + b)
 
 
-def stars(tiles: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each node with the first of its size band in each tile."""
+def stars(tiles: DataFrame, chain: bool = False) -> DataFrame:
+    """Pairs (a, b) of each node with the first of its size band in each tile, if their components differ.
+
+    ``chain``: with the node before it too. ``tiles``: token, node, n, component.
+    """
 
     def run(batches):
-        tile, first, size = None, None, 0
+        tile = None
+        first = last = (0, 0, 0)
         for batch in batches:
-            out = []
-            for token, node, n in zip(batch.column("token").to_pylist(), batch.column("node").to_pylist(), batch.column("n").to_pylist()):
-                if token != tile or not enough(size, n):
-                    tile, first, size = token, node, n
+            out = set()
+            for token, *row in zip(*[batch.column(c).to_pylist() for c in ("token", "node", "n", "component")]):
+                if token != tile:
+                    tile, first = token, row
                 else:
-                    out.append((first, node) if first < node else (node, first))
+                    if not enough(first[1], row[1]):
+                        first = row
+                    for other in (first, last) if chain else (first,):
+                        if other[2] != row[2] and enough(other[1], row[1]):
+                            out.add((min(other[0], row[0]), max(other[0], row[0])))
+                last = row
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
     ordered = tiles.repartition("token").sortWithinPartitions("token", "n", "node")
@@ -256,6 +266,29 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def merged(scratch: Scratch, label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``label`` (node, component) with the components that ``links`` join put together."""
+    if links.isEmpty():
+        return label
+    ends = links
+    for end in ("a", "b"):
+        own = label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce(f"{end}_in", end)).drop(f"{end}_in")
+    joined = components(scratch, ends.where("a != b").distinct(), name)
+    above = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    inner = label.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return scratch.write(inner.unionByName(joined.join(label, "node", "left_anti")), f"{name}_label")
+
+
+def unsettled(scratch: Scratch, tiles: DataFrame, label: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The tiles' rows with their components, and the tiles that hold several (token, anchor, m)."""
+    placed = tiles.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = scratch.write(placed, f"{name}_placed")
+    ends = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("anchor"), F.count("*").alias("m"))
+    several = scratch.write(ends.where("low != high").select("token", "anchor", "m"), f"{name}_several")
+    return placed.join(several, "token"), several
+
+
 def jaccard_components(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node and component_id of every row of ``docs`` (doc_id, text).
 
@@ -267,28 +300,21 @@ def jaccard_components(scratch: Scratch, docs: DataFrame) -> DataFrame:
     # Prefixes of equal sets are alike but for shingles that only equal rows of one run share; any will do.
     sets = rows.where(F.col("prefix").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.max_by("prefix", F.size("prefix")).alias("prefix"), F.first("shingles").alias("shingles"), F.first("bitmap").alias("bitmap"))
     sets = scratch.write(sets, "sets")
+    arrays = sets.select("node", "shingles")
     tiles = sets.select(F.explode("prefix").alias("token"), "node", "n")
-    tried = scratch.write(stars(tiles), "stars")
-    links = scratch.write(verified(tried, sets.select("node", "shingles")), "links")
-    first = components(scratch, links, "first")
-    # Tiles that still hold different components.
-    placed = tiles.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = scratch.write(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("anchor"), F.count("*").alias("m")).where("low != high")
-    mixed = scratch.write(mixed.select("token", "anchor", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
-    dealt = placed.join(mixed, "token").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    tried = scratch.write(stars(tiles.withColumn("component", F.col("node"))), "stars")
+    label = components(scratch, scratch.write(verified(tried, arrays), "links"), "first")
+    # Once more where a tile holds several components, so that few pairs are left to compare.
+    placed, _ = unsettled(scratch, tiles, label, "second")
+    again = scratch.write(stars(placed, chain=True).join(tried, ["a", "b"], "left_anti"), "stars_again")
+    tried = tried.unionByName(again)
+    label = merged(scratch, label, scratch.write(verified(again, arrays), "links_again"), "second")
+    placed, _ = unsettled(scratch, tiles, label, "third")
+    dealt = placed.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", "anchor", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "component")
     more = crossing(dealt.join(sets.select("node", "bitmap"), "node")).join(tried, ["a", "b"], "left_anti")
-    more = scratch.write(verified(scratch.write(more, "crossing"), sets.select("node", "shingles")), "more_links")
-    label = first
-    if not more.isEmpty():
-        own = first.select(F.col("node"), F.col("component"))
-        ends = more.join(own.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct()
-        joined = components(scratch, ends, "second")
-        inner = first.join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        label = inner.unionByName(joined.join(first, "node", "left_anti"))
+    label = merged(scratch, label, scratch.write(verified(scratch.write(more, "crossing"), arrays), "links_across"), "third")
     # The least doc_id of each component, for classes that aren't a single row.
     grouped = classes.join(label, "node", "left").where(F.col("component").isNotNull() | (F.col("n_rows") > 1))
     grouped = grouped.select("node", "first_id", F.coalesce("component", "node").alias("component"))
