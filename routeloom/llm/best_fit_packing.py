@@ -19,8 +19,6 @@ told apart by doc_id); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +28,17 @@ CAPACITY = 1024
 END_ID = 2
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 #: Distinct chunks whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
+MARK = "\x01"
 
 
 class ChunkedTokenizer:
     """Ids as the tokenizers library gives them, as little-endian 32-bit bytes.
 
     Byte-level BPE never joins a word with the space before the next one, so a
-    text cut before single spaces has the ids of its chunks one after another,
-    and frequent chunks are remembered. Texts with runs of spaces are encoded
-    whole.
+    text cut before single spaces has the ids of its chunks one after another.
+    The first chunks that a worker meets, and so the frequent ones, are
+    remembered. Texts with runs of spaces (or the mark) are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -47,31 +46,36 @@ class ChunkedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+
+    @classmethod
+    def of_worker(cls, path: str) -> "ChunkedTokenizer":
+        """The worker process's own, which outlives a task."""
+        import sys
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+        kept = sys.modules.setdefault("_routeloom_tokenizers", {})  # a place that all tasks of the process see
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def encode(self, text: str) -> bytes:
         import numpy as np
 
-        out = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in out]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if "  " in text:
-                yield self.encode([text])[0]
-                continue
-            first, *rest = text.split(" ")
-            chunks = [first] if first else []
-            chunks += [" " + x for x in rest]
-            known = self.known
-            try:
-                yield b"".join([known[x] for x in chunks])
-            except KeyError:
-                if len(known) > CACHE:
-                    known.clear()
-                new = list({x for x in chunks if x not in known})
-                known.update(zip(new, self.encode(new)))
-                yield b"".join([known[x] for x in chunks])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        if "  " in text or MARK in text:
+            return self.encode(text)
+        chunks = text.replace(" ", MARK + " ").split(MARK)
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, chunks))
+        except KeyError:
+            new = {x: self.encode(x) for x in set(chunks) if x not in known}
+            if len(known) < CACHE:
+                known.update(new)
+                return b"".join(map(known.__getitem__, chunks))
+            return b"".join([known[x] if x in known else new[x] for x in chunks])
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -93,7 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, salts: int, capacity: int
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkedTokenizer(tokenizer_path)
+        tokenizer = ChunkedTokenizer.of_worker(tokenizer_path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             texts = (x.decode("utf-8") for x in as_bytes(batch.column("text")))
@@ -101,8 +105,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, salts: int, capacity: int
             rows = zip(batch.column("doc_id").to_pylist(), spread, texts)
             while block := list(islice(rows, 512)):
                 out = []
-                for (doc, salt, _), ids in zip(block, tokenizer.ids([x[2] for x in block])):
-                    ids += end
+                for doc, salt, text in block:
+                    ids = tokenizer.ids(text) + end
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
                         out.append((doc, piece, start, length, zlib.crc32(own), (salt + piece) % salts, own))
