@@ -85,8 +85,8 @@ class Model:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Evidence of each word: its letters' log p(toxic) - log p(ordinary), mixed."""
-        if not words:
-            return np.zeros(0)
+        if not words or not len(self.keys[HIGH]) or not len(self.base_keys):
+            return np.zeros(len(words))
         top, word = grams(words, HIGH)
         low = top % CODES**LOW
         at, found = lookup(self.base_keys, low)
