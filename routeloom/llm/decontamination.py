@@ -168,8 +168,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ER
 
 def without_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    columns = docs.columns
-    schema = docs.schema
     for block in item_blocks(items, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -178,11 +176,11 @@ def without_contamination(docs: DataFrame, items: DataFrame, error_rate: float =
 
             matcher = Matcher(sent.value, error_rate, min_chars)
             for batch in batches:
-                clean = [next(matcher.matches(normalise(text)), None) is None for text in as_bytes(batch.column("_text"))]
-                kept = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))], columns)
-                yield kept.filter(pa.array(clean, pa.bool_()))
+                clean = [next(matcher.matches(normalise(text)), None) is None for text in as_bytes(batch.column("text"))]
+                yield batch.select(["record"]).filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+        source = docs.select(F.struct("*").alias("record"), F.col("text").cast("string").alias("text"))
+        docs = source.mapInArrow(run, source.select("record").schema).select("record.*")
     return docs
 
 

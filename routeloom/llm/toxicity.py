@@ -246,7 +246,7 @@ def totals(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def evidence(docs: DataFrame, model, keep: set[int] | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` (doc_id by default) and the length-normalised log-likelihood ratio of every document (or of those in ``keep``)."""
+    """record (struct of ``carry``, doc_id by default) and evidence (the length-normalised ratio) of every document, or of those in ``keep``."""
     carry = carry or ["doc_id"]
 
     def run(batches):
@@ -254,7 +254,7 @@ def evidence(docs: DataFrame, model, keep: set[int] | None = None, carry: list[s
 
         model_here, known = Model(**model.value), {}
         for batch in batches:
-            ids, texts = batch.column("_id").to_pylist(), as_bytes(batch.column("_text"))
+            ids, texts = batch.column("id").to_pylist(), as_bytes(batch.column("text"))
             chosen, out = [], []
             for i in range(0, len(ids), 256):
                 at = [j for j in range(i, min(i + 256, len(ids))) if keep is None or ids[j] in keep]
@@ -266,11 +266,10 @@ def evidence(docs: DataFrame, model, keep: set[int] | None = None, carry: list[s
                 chosen += at
                 out += [sum([known[w] for w in sorted(ws)]) / (len(ws) + PRIOR_WORDS) for ws in part]
             taken = pa.array(chosen, pa.int64())
-            columns = [batch.column(i).take(taken) for i in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64())], [*carry, "_evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("record").take(taken), pa.array(out, pa.float64())], ["record", "evidence"])
 
-    source = docs.select(*carry, F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    schema = StructType([*docs.select(*carry).schema.fields, StructField("_evidence", DoubleType())])
+    source = docs.select(F.struct(*carry).alias("record"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    schema = StructType([source.schema["record"], StructField("evidence", DoubleType())])
     return source.mapInArrow(run, schema)
 
 
@@ -291,26 +290,26 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` (doc_id by default), score (0 to 1) and predicted (score >= ``threshold``) of every row of ``docs``."""
+    """record (struct of ``carry``, doc_id by default), score (0 to 1) and predicted (score >= ``threshold``) of every row of ``docs``."""
     spark = docs.sparkSession
     train, _ = bounded_labels(labels, 0, max_docs)
     tune, stands_for = bounded_labels(labels, 2, max_docs)
     counts, shared = gram_counts(docs, train)
     model = spark.sparkContext.broadcast(vars(kneser_ney(counts, shared)))
-    rows = evidence(docs, model, set(tune)).toArrow()
-    x = rows["_evidence"].to_numpy()
+    rows = evidence(docs, model, set(tune)).select("record.doc_id", "evidence").toArrow()
+    x = rows["evidence"].to_numpy()
     y = np.array([tune[d] for d in rows["doc_id"].to_pylist()], dtype=float)
     if 0 < y.sum() < len(y):
         slope, intercept = logistic(x, y, stands_for[y.astype(int)])
     else:
         slope, intercept = 0.0, -30.0
-    score = 1 / (1 + F.exp(-(F.col("_evidence") * slope + intercept)))
+    score = 1 / (1 + F.exp(-(F.col("evidence") * slope + intercept)))
     out = evidence(docs, model, carry=carry).withColumn("score", score)
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_evidence")
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("evidence")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, labels)
-    return settle(scored.select("doc_id", (fold() == 1).alias("held_out"), "score", "predicted"))
+    return settle(scored.select("record.doc_id", "score", "predicted").select("doc_id", (fold() == 1).alias("held_out"), "score", "predicted"))
