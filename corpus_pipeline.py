@@ -30,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, labels, carry=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where("predicted = 0").select("record.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         rows = settle(rows.select("doc_id", "component_id"))
     leave = rows.where("doc_id != component_id").select("doc_id").distinct()
     twice = rows.groupBy("doc_id", "component_id").count().where("count > 1 and doc_id = component_id").select("doc_id", F.lit(True).alias("_twice"))
-    kept = docs.join(settle(leave), "doc_id", "left_anti").join(settle(twice), "doc_id", "left")
+    records = docs.select("doc_id", "text", F.struct("*").alias("record"))
+    kept = records.join(settle(leave), "doc_id", "left_anti").join(settle(twice), "doc_id", "left")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     once = kept.where("_twice").withColumn("_row", first).where("_row = 1").drop("_row")
-    return kept.where("_twice is null").unionByName(once).select(*docs.columns)
+    return kept.where("_twice is null").unionByName(once).select("record.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
