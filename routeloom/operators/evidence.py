@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,6 +21,25 @@ def pattern_of(codes):
     return assign_pattern(F.col("concept"), F.col("method"), F.col("normalized_path"), F.col("path"), F.col("symbol"), codes)
 
 
+def extracted(found: DataFrame) -> DataFrame:
+    """Evidence of routes that ``sources.extract`` found, with ``repository``, as ``classified`` gives it.
+
+    A source route's codes come from its text and its confidence is 0.08 lower;
+    of one route that several rules find in a line the first rule's row stays.
+    """
+    is_source = F.col("extractor") == "source-routes"
+    rows = found.where("extractor <> 'error'").withColumn("codes", F.when(is_source, T.response_codes(F.col("text"))).otherwise(F.col("codes")))
+    concepts = classify_route(F.col("method"), F.col("path"), F.col("codes"), F.coalesce("text", F.lit("")), F.col("symbol"))
+    rows = rows.withColumn("c", F.explode(concepts)).select("*", "c.concept", "c.confidence", "c.reason").drop("c")
+    lower = F.round(F.greatest(F.lit(0.1), F.col("confidence") - 0.08), 4)
+    rows = rows.withColumn("confidence", F.when(is_source, lower).otherwise(F.col("confidence")))
+    same = Window.partitionBy("repository", "rel_path", "extractor", "line", "method", "path", "concept").orderBy("nth")
+    rows = rows.withColumn("_at", F.row_number().over(same)).where(~is_source | (F.col("_at") == 1)).drop("_at")
+    rows = rows.withColumn("normalized_path", T.normalize_path(F.col("path"))).withColumn("source_kind", F.when(is_source, "source").otherwise("openapi"))
+    said = F.concat_ws(" ", "symbol", "value_text")
+    return rows.withColumn("pattern", assign_pattern(F.col("concept"), F.col("method"), F.col("normalized_path"), F.col("path"), said, F.col("codes")))
+
+
 KEY = ["repository", "concept", "method", "normalized_path", "source_kind"]
 
 

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Fixed values.
-SKIPPED = [".git", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".venv", "venv"]
+SUFFIXES = ".cjs .cs .ex .exs .go .java .js .jsx .kt .mjs .php .py .rb .rs .ts .tsx".split()
+SKIPPED = (
+    ".git .hg .svn node_modules vendor dist build .venv venv __pycache__ target test tests __tests__ spec specs "
+    "mock mocks fixture fixtures example examples doc docs"
+).split()
+SKIPPED_FOR_DESCRIPTIONS = [".git", "node_modules", "vendor", "dist", "build", ".venv", "venv"]
+TEST_FILE = r"^test_|_test\.(go|py)$|\.test\.|\.spec\.|tests\.py$"
+DESCRIPTION = r"(?=.*\.(json|yaml|yml)$)(.*(openapi|swagger)|api\.(json|yaml|yml)$)"
 MAX_BYTES = 1_000_000
 
 
@@ -19,16 +28,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def source_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
-    """rel_path, suffix, text of the source files under ``root``; skipped folders and large files aside."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, length, content of every file under ``root``; unreadable ones aside."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
     # Spark gives URIs; the part behind the root's last folder is the relative path.
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    rel = F.regexp_replace("path", f"^.*?/{base}/", "")
-    out = files.where(F.col("length") <= MAX_BYTES).withColumn("rel_path", rel)
-    out = out.withColumn("suffix", F.regexp_extract("rel_path", r"(\.[^./]+)$", 1))
-    keep = F.col("suffix").isin(*suffixes) & ~F.arrays_overlap(F.split("rel_path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))
-    return out.where(keep).select("rel_path", "suffix", F.decode("content", "UTF-8").alias("text"))
+    base = re.escape(root.rstrip("/").rsplit("/", 1)[-1])
+    return files.select(F.regexp_replace("path", f"^.*?/{base}/", "").alias("rel_path"), "length", "content")
+
+
+def in_folders(names: list[str]) -> Column:
+    folders = F.split("rel_path", "/")
+    return F.arrays_overlap(F.slice(folders, 1, F.size(folders) - 1), F.array(*[F.lit(x) for x in names]))
+
+
+def source_files(files: DataFrame) -> DataFrame:
+    """Sources among ``files`` (rel_path, length, content) without tests, skipped folders and large files."""
+    name = F.lower(F.element_at(F.split("rel_path", "/"), -1))
+    suffix = F.regexp_extract(name, r"(\.[^.]+)$", 1)
+    return files.where((F.col("length") <= MAX_BYTES) & suffix.isin(*SUFFIXES) & ~name.rlike(TEST_FILE) & ~in_folders(SKIPPED))
+
+
+def description_files(files: DataFrame) -> DataFrame:
+    """API descriptions among ``files``, by name; tests and examples count."""
+    name = F.lower(F.element_at(F.split("rel_path", "/"), -1))
+    return files.where(name.rlike("^" + DESCRIPTION) & ~in_folders(SKIPPED_FOR_DESCRIPTIONS))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

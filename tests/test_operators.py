@@ -87,7 +87,8 @@ def test_extract(spark, tmp_path):
     (root / "api.json").write_text(json.dumps({"paths": {"/ops": {"post": {"operationId": "make", "responses": {"202": {}, "default": {}}}}}}))
     (root / "bad.json").write_text("{")
     (root / "node_modules" / "c.ts").write_text("app.get('/no', h)")
-    found = extract.extract(files.source_files(spark, str(root), [".ts", ".py", ".json"])).collect()
+    tree = files.tree(spark, str(root))
+    found = extract.extract(files.source_files(tree).unionByName(files.description_files(tree))).where("extractor <> 'error'").collect()
     assert sorted((r["rel_path"], r["method"], r["path"], r["line"]) for r in found) == [("a.ts", "GET", "/jobs/:id", 3), ("a.ts", "POST", "/jobs", 2), ("api.json", "POST", "/ops", 1), ("b.py", "DELETE", "/tasks/{id}", 1)]
     assert next(r["codes"] for r in found if r["rel_path"] == "api.json") == [202]
 
