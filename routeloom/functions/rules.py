@@ -29,3 +29,80 @@ STRICT_PATTERNS = [
 ]
 FRAMEWORK_MARKERS = ["fastapi", "django", "flask", "express", "nestjs", "spring", "rails", "gin", "chi", "actix", "axum", "laravel", "phoenix"]
 COVERAGE_ORDER = ["unknown", "none", "adjacent", "partial", "full"]
+
+#: Discovery. Substrings of lower-cased names, descriptions and topics.
+SERVER_MARKERS = [
+    "api server", "backend", "cloud native", "controller", "developer platform", "distributed", "gateway", "job",
+    "job queue", "kubernetes", "operator", "orchestration", "pipeline", "rest api", "scheduler", "server", "service",
+    "webhook", "workflow engine",
+]
+DOMAIN_MARKERS = ["async operation", "idempotency", "long running", "task runner", "workflow"]
+SDK_MARKERS = [
+    "api client", "api-client", "client library", "client sdk", "client-sdk", "codegen", "generated client",
+    "generated sdk", "http client", "kiota", "openapi generator", "openapi-generator", "sdk", "swagger codegen",
+    "swagger-codegen",
+]
+TOY_MARKERS = ["awesome", "demo", "demos", "example", "examples", "sample", "samples", "starter", "template", "templates", "tutorial"]
+NAME_MARKERS = [
+    "alfred", "awesome", "cheatsheet", "font-awesome", "github-action", "github-actions", "notebook", "obsidian",
+    "paper", "prompt", "prompts", "roadmap", "sample", "samples", "starter", "template", "templates", "tutorial",
+    "wallpaper", "workflow-template", "workflow-templates", "workflow_template", "workflow_templates",
+]
+CONTENT_MARKERS = [
+    "alfred workflow", "browser extension", "chrome extension", "comfyui", "desktop app", "figma", "jetbrains",
+    "obsidian", "paper reading", "prompt", "prompts", "vscode", "wallpaper",
+]
+ACTION_MARKERS = ["github action", "github actions"]
+LIBRARY_ENDINGS = ["-sdk", "-client", "_sdk", "_client"]
+TEMPLATE_MARKERS = ["template", "starter", "scaffold", "sample", "demo", "example"]
+CATEGORY_MARKERS = {
+    "workflow": "workflow-engine",
+    "orchestration": "orchestration-engine",
+    "scheduler": "job-scheduler",
+    "pipeline": "ci-orchestration",
+    "kubernetes": "cloud-native",
+    "webhook": "developer-platform",
+    "openapi": "api-server",
+    "swagger": "api-server",
+    "api gateway": "api-gateway",
+}
+MAX_REPOSITORY_KB = 250_000
+SEARCH_LANGUAGES = ["Go", "TypeScript", "Python", "Java", "JavaScript", "Rust", "Ruby", "PHP", "C#", "Kotlin", "Scala", "Elixir"]
+SEARCH_TERMS = [
+    "workflow", "scheduler", "orchestration", "job queue", "pipeline", "webhook", "kubernetes",
+    '"developer platform"', '"cloud native"', "automation", '"long running"', "idempotency", '"async operation"',
+    "task runner", "api server", '"rest api"', "openapi server", "swagger server",
+]
+
+#: Sampling. Patterns and buckets in order, sizes of the two profiles (None: all).
+SAMPLE_SIZES = {
+    "full": {
+        "post-subresource-cancel": 80, "post-action-cancel": 35, "delete-action-cancel": 31, "put-action-cancel": 27,
+        "get-cancel-link": 18, "patch-state-cancelled": 5, "delete-operation-resource": 124,
+    },
+    "minimum": {
+        "post-subresource-cancel": 50, "post-action-cancel": 30, "delete-action-cancel": 20, "put-action-cancel": 15,
+        "get-cancel-link": 10, "patch-state-cancelled": 5, "delete-operation-resource": 10,
+    },
+}
+ROUTE_SAMPLE_SIZES = {
+    "full": {
+        "delete-operation-resource:any": 100, "post-subresource-cancel:linked": 30, "post-subresource-cancel:unlinked": 70,
+        "post-action-cancel:any": 50, "delete-action-cancel:any": None, "put-action-cancel:any": None,
+        "get-cancel-link:any": None, "patch-state-cancelled:any": None,
+    },
+    "minimum": {
+        "delete-operation-resource:any": 25, "post-subresource-cancel:linked": 15, "post-subresource-cancel:unlinked": 35,
+        "post-action-cancel:any": 30, "delete-action-cancel:any": 20, "put-action-cancel:any": 15,
+        "get-cancel-link:any": 10, "patch-state-cancelled:any": None,
+    },
+}
+FAMILY_SAMPLE_SIZES = {"full": 140, "minimum": 80}
+PILOT_SIZES, PILOT_SEED = {"delete-operation-resource": 20, "post-subresource-cancel": 20}, 2026090501
+BUCKETS = ["mixed-same-resource-and-risk", "same-resource-linked", "mixed-operation-target-and-risk", "operation-like-target", "domain-transition-risk", "other"]
+DELETE_PATTERN = "delete-operation-resource"
+DELETE_BUCKET_SIZES = {
+    124: {"delete-only-linked": 55, "delete-and-strict-different-resource": 30, "delete-and-strict-same-resource": 15, "delete-unlinked": 24},
+    10: {"delete-only-linked": 7, "delete-and-strict-different-resource": 2, "delete-and-strict-same-resource": 1},
+}
+PER_PATTERN_CAP, TOTAL_CAP = 2, 5

@@ -24,13 +24,14 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_at", F.row_number().over(at)).where("_at = 1").drop("_at")
 
 
-def search_queries(spark: SparkSession, terms: list[str], languages: list[str], stars: int) -> DataFrame:
+def search_queries(spark: SparkSession, terms: list[str], languages: list[str], stars: int, since: str = "2024-01-01", max_kb: int = R.MAX_REPOSITORY_KB) -> DataFrame:
     """ord, query: every term with every language, then every term alone with five times the stars."""
     t = spark.createDataFrame(list(enumerate(terms)), "i long, term string")
     g = spark.createDataFrame(list(enumerate(languages)), "j long, language string")
+    rest = f" pushed:>={since} size:<{max_kb} archived:false fork:false"
     # Two configured lists, not data: the product is what is asked for.
-    both = t.crossJoin(F.broadcast(g)).select((F.col("i") * len(languages) + F.col("j")).alias("ord"), F.concat("term", F.lit(" language:"), "language", F.lit(f" stars:>={stars}")).alias("query"))
-    alone = t.select((F.col("i") + len(terms) * len(languages)).alias("ord"), F.concat("term", F.lit(f" stars:>={5 * stars}")).alias("query"))
+    both = t.crossJoin(F.broadcast(g)).select((F.col("i") * len(languages) + F.col("j")).alias("ord"), F.concat("term", F.lit(" language:"), "language", F.lit(f" stars:>={stars}{rest}")).alias("query"))
+    alone = t.select((F.col("i") + len(terms) * len(languages)).alias("ord"), F.concat("term", F.lit(f" stars:>={5 * stars}{rest}")).alias("query"))
     return both.unionByName(alone)
 
 

@@ -123,7 +123,7 @@ TOTALS = ", ".join(
     for n, t in (("all", "true"), ("linked", "linked"), ("target", "operation_target"), ("risk", "risk"))
 )
 CELLS = f"""{LINK}, ce AS (SELECT pattern, family_id, count(*) AS size, bool_or(linked) AS l, bool_or(operation_target) AS t, bool_or(risk) AS k FROM lk GROUP BY ALL),
-cells AS (SELECT pattern, family_id, size, CASE WHEN l AND k THEN 'mixed' WHEN l THEN 'same-resource-linked' WHEN t AND k THEN 'mixed' WHEN t THEN 'operation-like-target' WHEN k THEN 'domain-transition-risk' ELSE 'other' END AS bucket FROM ce)"""
+cells AS (SELECT pattern, family_id, size, CASE WHEN l AND k THEN 'mixed-same-resource-and-risk' WHEN l THEN 'same-resource-linked' WHEN t AND k THEN 'mixed-operation-target-and-risk' WHEN t THEN 'operation-like-target' WHEN k THEN 'domain-transition-risk' ELSE 'other' END AS bucket FROM ce)"""
 STANDARDS = f"""st AS (SELECT * FROM (VALUES ('s1', 1, '{R.ASYNC}', 'partial', 'none'), ('s1', 1, '{R.CANCELLATION}', 'adjacent', 'none'), ('s2', 2, '{R.ASYNC}', 'none', 'differs'), ('s3', 3, '{R.CANCELLATION}', 'adjacent', NULL)) t(id, ord, concept, coverage, conflict)),
 cmp AS (SELECT concept, coalesce(arg_max(coverage, list_position({texts(R.COVERAGE_ORDER)}, coverage) * 100 - ord), 'unknown') AS coverage, coalesce(bool_or(lower(coalesce(conflict, '')) NOT IN ('', 'none', 'unknown')), false) AS conflict, count(id) AS standards FROM cm LEFT JOIN st USING (concept) GROUP BY concept)"""
 SCORE = f"""WITH {FAMILIES}, {concepts('rw')}, {STANDARDS}, tf AS (SELECT count(DISTINCT family_id) AS total FROM fam WHERE reason IS NULL),
@@ -136,8 +136,44 @@ URL_PATH = canon("regexp_replace(url, '^https?://[^/]*', '')")
 CODES = r"""list_concat(list_concat(CASE WHEN regexp_matches(html, '\b(?:HTTP_)?202(?:_ACCEPTED)?\b|Status202Accepted|StatusAccepted|http\.StatusAccepted') THEN [202] ELSE [] END,
  list_transform(regexp_extract_all(html, '\b(?:status|code|writeHead|sendStatus)\s*\(?\s*([1-5][0-9]{2})\b', 1), lambda c: c::INT)),
  list_filter(list_transform(regexp_extract_all(html, '\b([1-5][0-9]{2})\b', 1), lambda c: c::INT), lambda c: c IN (200, 201, 202, 204, 400, 404, 409, 422, 429, 500, 503)))"""
+REST = f" pushed:>=2024-01-01 size:<{R.MAX_REPOSITORY_KB} archived:false fork:false"
+AS_FILES = CLASSIFIED.replace(f"({texts(A.SYMBOLS)})[((event_id // 5) % 4 + 1)::INT] AS symbol", "'' AS symbol")
+TOTAL = LINK + f", tt AS (SELECT coalesce(pattern, '(all)') AS pattern, {TOTALS} FROM lk GROUP BY ROLLUP (pattern))"
+
+
+def any_of(x: str, markers) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{m}')" for m in markers) + ")"
+
+
+def at(values, step: int) -> str:
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"([{listed}])[((event_id // {step}) % {len(values)} + 1)::INT]"
+
+
+ITEM = f"""it AS (SELECT event_id, {at(A.ITEM_NAMES, 1)} || '-' || event_id AS long_name, {at(A.ITEM_TEXTS, 8)} AS description, {at(A.ITEM_TOPICS, 56)} AS topic FROM events),
+nm AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN {at(A.ITEM_NAMES, 1)} ELSE long_name END AS name FROM it),
+hs AS (SELECT *, lower(name || ' org/' || long_name || ' ' || coalesce(description, '') || ' ' || topic) AS x, lower(name || ' ' || coalesce(description, '') || ' ' || topic) AS y, name || ' org/' || long_name AS z FROM nm),
+ok AS (SELECT * FROM hs WHERE event_id % 19 > 0 AND event_id % 23 > 0 AND event_id % 17 > 0 AND event_id % 260000 < {R.MAX_REPOSITORY_KB} AND NOT {any_of('z', R.NAME_MARKERS)} AND NOT {any_of('y', R.CONTENT_MARKERS + R.TOY_MARKERS)}
+ AND NOT {any_of('x', R.ACTION_MARKERS + R.SDK_MARKERS)} AND NOT regexp_matches(name, '^setup-|^cli$|[-_]cli$|[-_](sdk|client)$') AND NOT contains(' ' || x || ' ', ' command line ') AND {any_of('x', R.SERVER_MARKERS + R.DOMAIN_MARKERS)})"""
+CATEGORY = " ".join(f"WHEN contains(x, '{m}') THEN '{c}'" for m, c in R.CATEGORY_MARKERS.items())
+DELETES = f"""{LINK}, sl AS (SELECT DISTINCT family_id, target_path FROM lk WHERE strict AND linked),
+dr AS (SELECT family_id, linked, linked AND (family_id, target_path) IN (SELECT (family_id, target_path) FROM sl) AS same, family_id IN (SELECT family_id FROM sl) AS f FROM lk WHERE pattern = '{R.DELETE_PATTERN}')"""
+SAID = """list_concat(['## ' || concept, '- Score: ' || score, '- Families: ' || families, '- Repositories: ' || repositories, '- Patterns: ' || patterns, '- Evidence: ' || evidence, '- Evidence with at most 50 a repository: ' || capped,
+ printf('- Entropy: %.4f', entropy), printf('- Dominant pattern: %.4f', dominant_ratio), printf('- Patterns of one family: %.4f', long_tail_ratio), printf('- Share of the largest repository: %.1f%%', top_repository_share * 100), '- Coverage by standards: ' || coverage],
+ list_concat(CASE WHEN families < 20 AND entropy < 0.7 AND coverage NOT IN ('none', 'adjacent') THEN ['- For: The evidence is thin.'] ELSE [] END,
+ list_concat(list_filter([CASE WHEN families >= 20 THEN '- For: Many independent families show it.' END, CASE WHEN entropy >= 0.7 THEN '- For: Implementations diverge.' END, CASE WHEN coverage IN ('none', 'adjacent') THEN '- For: No standard covers it directly.' END], lambda v: v IS NOT NULL),
+ list_concat(CASE WHEN dominant_ratio < 0.7 AND top_repository_share < 0.2 AND coverage NOT IN ('partial', 'full') THEN ['- Against: None found in the evidence.'] ELSE [] END,
+ list_filter([CASE WHEN dominant_ratio >= 0.7 THEN '- Against: One pattern is already common.' END, CASE WHEN top_repository_share >= 0.2 THEN '- Against: One repository gives much of the evidence.' END, CASE WHEN coverage IN ('partial', 'full') THEN '- Against: A standard covers it in part.' END], lambda v: v IS NOT NULL)))))"""
+SHARES = " || ' | ' || ".join(f"{k}_families || ' (' || printf('%.1f%%', {k}_families * 100.0 / all_families) || ')'" for k in ("linked", "target", "risk"))
 
 ORACLE_SQL = {
+    "extracted_evidence": f"""WITH {AS_FILES}, ln AS (SELECT ord, (2 * row_number() OVER (PARTITION BY repository, ord // 500 ORDER BY ord) - 1)::INT AS line FROM r)
+SELECT repository, repository || '/src/part' || (ord // 500) || '.ts' AS rel_path, ln.line AS line, method, path, concept, reason, pattern, round(confidence - 0.08, 4) AS confidence, array_to_string(codes, ',') AS codes FROM cl JOIN ln USING (ord)""",
+    "discovery_seeds": f"""WITH {ITEM} SELECT 'https://github.com/org/' || long_name AS repository_url, 'org' AS owner, long_name AS name, CASE WHEN event_id % 4 > 0 THEN 'Go' END AS language, CASE {FRAMEWORK} WHEN event_id % 4 > 0 THEN 'Go' END AS framework, event_id % 900 AS stars,
+ CASE {CATEGORY} ELSE 'api-candidate' END AS project_category, CASE WHEN {any_of('x', R.TEMPLATE_MARKERS)} THEN 'metadata-indicator' WHEN {any_of('x', R.SDK_MARKERS)} THEN 'generated-sdk-suspect' END AS probable_template, CASE WHEN event_id % 2 = 0 THEN 'vendor' ELSE 'org' END AS vendor, event_id % 260000 AS size_kb FROM ok""",
+    "delete_buckets": f"WITH {DELETES} SELECT family_id, CASE WHEN NOT bool_or(linked) THEN 'delete-unlinked' WHEN NOT bool_or(f) THEN 'delete-only-linked' WHEN bool_or(same) THEN 'delete-and-strict-same-resource' ELSE 'delete-and-strict-different-resource' END AS bucket FROM dr GROUP BY family_id",
+    "concept_report": f"{SCORE.replace('SELECT *, prevalence', ', full_score AS (SELECT *, prevalence').removesuffix(' FROM sc')} FROM sc), sd AS (SELECT concept, {SAID} AS l FROM cm JOIN cmp USING (concept) JOIN (SELECT concept, score FROM full_score) USING (concept)) SELECT concept, unnest(range(len(l))) AS nth, unnest(l) AS line FROM sd",
+    "linkage_report": f"WITH {TOTAL} SELECT pattern, '| ' || pattern || ' | ' || all_families || ' | ' || {SHARES} || ' |' AS line FROM tt",
     "concept_metrics": f"WITH {FAMILIES}, {concepts('rw')} SELECT * FROM cm",
     "normalize_path": f"WITH {ROUTES} SELECT ord, {norm('path')} AS normalized_path FROM r",
     "tokenize": f"WITH {ROUTES} SELECT ord, array_to_string(list_sort({tok('path || chr(32) || symbol')}), ' ') AS tokens FROM r",
@@ -167,7 +203,7 @@ ORACLE_SQL = {
     "resume_antijoin": "SELECT DISTINCT 'org' || (user_id % 7) || '/svc' || user_id AS repo_id FROM events WHERE user_id % 3 <> 0",
     "retry_prune": f"WITH {ROUTES} SELECT repository AS repo_id, count(*) AS rows FROM r WHERE repository NOT IN (SELECT 'org' || (user_id % 7) || '/svc' || user_id FROM events WHERE user_id % 10 = 0) GROUP BY repository",
     "first_seen": f"WITH {ROUTES} SELECT repository, ord, path FROM r QUALIFY row_number() OVER (PARTITION BY repository ORDER BY ord) = 1",
-    "discovery_queries": f"WITH t AS (SELECT unnest({texts(TERMS)}) AS term, unnest(range({len(TERMS)})) AS i), g AS (SELECT unnest({texts(LANGUAGES)}) AS l, unnest(range({len(LANGUAGES)})) AS j) SELECT i * {len(LANGUAGES)} + j AS ord, term || ' language:' || l || ' stars:>=10' AS query FROM t, g UNION ALL SELECT i + {len(TERMS) * len(LANGUAGES)}, term || ' stars:>=50' FROM t",
+    "discovery_queries": f"WITH t AS (SELECT unnest({texts(TERMS)}) AS term, unnest(range({len(TERMS)})) AS i), g AS (SELECT unnest({texts(LANGUAGES)}) AS l, unnest(range({len(LANGUAGES)})) AS j) SELECT i * {len(LANGUAGES)} + j AS ord, term || ' language:' || l || ' stars:>=10{REST}' AS query FROM t, g UNION ALL SELECT i + {len(TERMS) * len(LANGUAGES)}, term || ' stars:>=50{REST}' FROM t",
     "framework_inference": f"SELECT page_id, CASE {FRAMEWORK} ELSE 'none' END AS framework FROM (SELECT page_id, lower(concat_ws(' ', url, html)) AS x FROM pages)",
     "href_links": "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages",
     "stream_dedupe": f"WITH {ROUTES} SELECT DISTINCT repository FROM r",

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators import discovery as D
 from ..operators import evidence as E
 from ..operators import incremental as I
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..sources import adapter as A
-from ..sources.extract import links
+from ..sources.extract import extract, links
 from ..streaming.dedupe import once
+from . import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,14 +165,17 @@ def standards_comparison(spark, sf_dir):
     return M.compare_standards(M.concept_metrics(rows(spark, sf_dir)), standards(spark))
 
 
-@query
-def opportunity_scores(spark, sf_dir):
-    concepts = M.concept_metrics(rows(spark, sf_dir))
+def scored(spark: SparkSession, sf_dir: str, concepts: DataFrame) -> DataFrame:
     total = E.families(A.repositories(spark, sf_dir), evidence(spark, sf_dir)).where("not excluded").agg(F.countDistinct("family_id").cast("double").alias("total_families"))
     joined = concepts.crossJoin(F.broadcast(total))  # one row
     return M.scores(joined, M.compare_standards(concepts, standards(spark)), F.col("total_families"))
 
 
+@query
+def opportunity_scores(spark, sf_dir):
+    return scored(spark, sf_dir, M.concept_metrics(rows(spark, sf_dir)))
+
+
 @query
 def primary_pattern(spark, sf_dir):
     own = M.linkage(rows(spark, sf_dir))
@@ -276,3 +281,70 @@ def blind_view(spark, sf_dir):
 def excluded_repositories(spark, sf_dir):
     fam = E.families(A.repositories(spark, sf_dir), evidence(spark, sf_dir))
     return fam.where("excluded").groupBy("reason").agg(F.count("*").alias("repositories"))
+
+
+SEED = "20260904"
+
+
+@query
+def extracted_evidence(spark, sf_dir):
+    files = A.sources(spark, sf_dir)
+    found = extract(files).withColumn("repository", F.array_join(F.slice(F.split("rel_path", "/"), 1, 2), "/"))
+    codes = F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes")
+    return E.extracted(found).select("repository", "rel_path", "line", "method", "path", "concept", "reason", "pattern", "confidence", codes)
+
+
+@query
+def discovery_seeds(spark, sf_dir):
+    seeds = D.seeds(A.items(spark, sf_dir))
+    return seeds.select("repository_url", "owner", "name", "language", "framework", "stars", "project_category", "probable_template", "vendor", "size_kb")
+
+
+@query
+def delete_buckets(spark, sf_dir):
+    return S.delete_buckets(M.linkage(rows(spark, sf_dir)))
+
+
+@query
+def cell_representatives(spark, sf_dir):
+    return S.representatives(M.linkage(rows(spark, sf_dir)), SEED).select("pattern", "family_id", "repository", "method", "normalized_path", "source_kind", "cell_routes")
+
+
+def selected(linked: DataFrame, profile: str) -> DataFrame:
+    return S.select_cells(S.cell_queue(linked, SEED), S.profile_of(R.SAMPLE_SIZES, profile))
+
+
+@query
+def cell_sample(spark, sf_dir):
+    return selected(M.linkage(rows(spark, sf_dir)), "full")
+
+
+@query
+def cell_routes(spark, sf_dir):
+    linked = M.linkage(rows(spark, sf_dir))
+    return S.expand_cells(selected(linked, "minimum"), linked).select("route_sample_id", "pattern", "family_id", "bucket", "repository", "method", "normalized_path", "source_kind")
+
+
+@query
+def route_sample(spark, sf_dir):
+    own = S.primary_pattern(M.linkage(rows(spark, sf_dir)), ORDER, ["repository", "method", "normalized_path"])
+    return S.route_sample(own, SEED).select("stratum", "position", "repository", "method", "normalized_path", "source_kind", "stratum_size", "weight")
+
+
+@query
+def strict_family_sample(spark, sf_dir):
+    own = S.primary_pattern(M.linkage(rows(spark, sf_dir)), ORDER, ["repository", "method", "normalized_path"])
+    return S.family_sample(own, SEED).select("family_id", "memberships", "position", "stratum_size", "weight")
+
+
+@query
+def concept_report(spark, sf_dir):
+    concepts = M.concept_metrics(rows(spark, sf_dir))
+    score = scored(spark, sf_dir, concepts).select("concept", "score")
+    coverage = M.compare_standards(concepts, standards(spark)).select("concept", "coverage")
+    return report.concept_lines(concepts.join(score, "concept").join(coverage, "concept"))
+
+
+@query
+def linkage_report(spark, sf_dir):
+    return report.linkage_lines(M.linkage_totals(M.linkage(rows(spark, sf_dir))))

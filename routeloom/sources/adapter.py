@@ -46,3 +46,44 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 10 == 2, F.concat(F.lit("orig"), F.col("user_id") % 4)).alias("probable_origin"),
         F.when(F.col("user_id") % 13 == 5, F.lit("tutorial")).otherwise(F.lit("service")).alias("category"),
     )
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repository, rel_path, content: the routes of ``routes`` as source files of up to 500 events."""
+    r = routes(spark, sf_dir).withColumn("part", F.expr("ord div 500"))
+    handler = F.concat(F.lit("app."), F.lower("method"), F.lit("('"), "path", F.lit("', (q, r) => {\nr.sendStatus("), F.col("codes")[0].cast("string"), F.lit(") })"))
+    files = r.groupBy("repository", "part").agg(F.array_sort(F.collect_list(F.struct("ord", handler.alias("text")))).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda x: x["text"]), "\n")
+    return files.select("repository", F.concat("repository", F.lit("/src/part"), "part", F.lit(".ts")).alias("rel_path"), F.encode(text, "UTF-8").alias("content"))
+
+
+ITEM_NAMES = ["queue", "svc-cli", "runner", "client-sdk", "demo-app", "api", "setup-x", "store"]
+ITEM_TEXTS = ["REST API server with Flask", "A workflow engine", "Command line tools", "Chrome extension", "Job queue on Kubernetes", "Notes", None]
+ITEM_TOPICS = ["scheduler", "starter", "gin", "webhook", "openapi"]
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search items, one per event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    i = F.col("event_id")
+    at = lambda values, step: F.get(F.array(*[F.lit(v) for v in values]), F.expr(f"cast((event_id div {step}) % {len(values)} as int)"))
+    name = F.concat(at(ITEM_NAMES, 1), F.lit("-"), i)
+    return e.select(
+        "event_id",
+        F.when(i % 17 == 0, F.concat(F.lit("https://example.org/"), i)).otherwise(F.concat(F.lit("https://github.com/org/"), name)).alias("html_url"),
+        F.when(i % 3 == 0, at(ITEM_NAMES, 1)).otherwise(name).alias("name"),
+        F.concat(F.lit("org/"), name).alias("full_name"),
+        at(ITEM_TEXTS, 8).alias("description"),
+        F.when(i % 4 > 0, "Go").alias("language"),
+        F.lit("main").alias("default_branch"),
+        F.lit("2025-01-01").alias("pushed_at"),
+        (i % 900).alias("stargazers_count"),
+        (i % 90).alias("forks_count"),
+        (i % 260_000).alias("size"),
+        F.array(at(ITEM_TOPICS, 56)).alias("topics"),
+        F.struct(F.when(i % 2 == 0, "vendor").alias("login")).alias("owner"),
+        F.struct(F.lit("MIT").alias("spdx_id")).alias("license"),
+        (i % 19 == 0).alias("archived"),
+        (i % 23 == 0).alias("fork"),
+        F.lit(None).cast("boolean").alias("private"),
+    )

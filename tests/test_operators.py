@@ -97,3 +97,63 @@ def test_jsonl(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path / "none"), "a int").count() == 0
     files.write_jsonl(spark.createDataFrame([(1,), (2,)], "a int"), str(tmp_path / "x"))
     assert files.read_jsonl(spark, str(tmp_path / "x"), "a int").count() == 2
+
+
+def linked_rows(spark, n):
+    """n families, each with a linked POST route, a risky one and a DELETE route; one repository each."""
+    rows = []
+    for i in range(n):
+        for pattern, linked, risk, target in (("post-subresource-cancel", i % 2 == 0, i % 2 == 1, "/a"), ("delete-operation-resource", i % 3 > 0, False, "/a" if i % 2 else "/b"), ("put-action-cancel", False, True, "/a")):
+            rows.append((f"f{i:03}", f"r{i:03}", pattern, "POST", f"/{pattern}/{i}", "source", target, "x", i, "f", linked, False, pattern != "delete-operation-resource", risk, "b"))
+    return spark.createDataFrame(rows, "family_id string, repository string, pattern string, method string, normalized_path string, source_kind string, target_path string, path string, line int, file string, linked boolean, operation_target boolean, strict boolean, risk boolean, bucket string")
+
+
+def test_greedy_selection_keeps_caps_and_seeded_order(spark):
+    import random
+
+    from routeloom.functions import rules as R
+
+    # Families share few repositories here, so that the total cap refuses rows.
+    linked = linked_rows(spark, 60).withColumn("repository", F.concat(F.lit("r"), (F.substring("family_id", 2, 3).cast("int") % 30).cast("string")))
+    queue = sampling.cell_queue(linked, "5").withColumn("repository", F.when(F.col("repository") < "r2", "hot").otherwise(F.col("repository")))
+    sizes = {"post-subresource-cancel": 9, "put-action-cancel": 4, "delete-operation-resource": 10}
+    queues, rows = {}, queue.collect()
+    for r in sorted(rows, key=lambda r: r["position"]):
+        queues.setdefault((r["pattern"], r["bucket"]), []).append((r["family_id"], r["repository"]))
+    families = {k: sorted(f for f, _ in v) for k, v in queues.items()}
+    for (pattern, bucket), order in families.items():
+        random.Random(f"5:{pattern}:{bucket}").shuffle(order)
+        assert order == [f for f, _ in queues[pattern, bucket]]
+    got = sampling.select_cells(queue, sizes).orderBy("nth").collect()
+    per_repository, per_pattern = {}, {}
+    for r in got:
+        per_repository[r["repository"]] = per_repository.get(r["repository"], 0) + 1
+        per_pattern[r["pattern"], r["repository"]] = per_pattern.get((r["pattern"], r["repository"]), 0) + 1
+    assert max(per_repository.values()) <= R.TOTAL_CAP and max(per_pattern.values()) <= R.PER_PATTERN_CAP
+    assert [r["sample_id"] for r in got] == [f"cancel-{i:04d}" for i in range(1, len(got) + 1)]
+    deletes = [r["bucket"] for r in got if r["pattern"] == R.DELETE_PATTERN]
+    assert deletes.count("delete-only-linked") <= 7 and "delete-unlinked" not in deletes
+
+
+def test_expansion_numbers_every_route(spark):
+    linked = linked_rows(spark, 6)
+    twice = linked.unionByName(linked.withColumn("normalized_path", F.concat("normalized_path", F.lit("/x"))))
+    picked = sampling.select_cells(sampling.cell_queue(twice, "1"), {"put-action-cancel": 2})
+    ids = sorted(r["route_sample_id"] for r in sampling.expand_cells(picked, twice).collect())
+    assert ids == [f"cancel-000{i}-route-00{j}" for i in (1, 2) for j in (1, 2)]
+
+
+def test_pilot_needs_enough_rows(spark):
+    rows = spark.createDataFrame([(f"s{i:03}", p) for p in ("delete-operation-resource", "post-subresource-cancel") for i in range(25)], "sample_id string, pattern string")
+    assert sampling.pilot(rows).groupBy("pattern").count().where("count = 20").count() == 2
+    with pytest.raises(Exception, match="too few rows"):
+        sampling.pilot(rows.where("sample_id < 's010'")).collect()
+
+
+def test_unknown_profile():
+    with pytest.raises(ValueError, match="unknown profile"):
+        sampling.profile_of({"full": 1}, "huge")
+
+
+def test_empty_queue_selects_nothing(spark):
+    assert sampling.select_cells(sampling.cell_queue(linked_rows(spark, 1).where("false"), "1"), {"put-action-cancel": 2}).count() == 0
