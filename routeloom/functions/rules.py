@@ -106,3 +106,21 @@ DELETE_BUCKET_SIZES = {
     10: {"delete-only-linked": 7, "delete-and-strict-different-resource": 2, "delete-and-strict-same-resource": 1},
 }
 PER_PATTERN_CAP, TOTAL_CAP = 2, 5
+
+#: Report. Sentences for and against a concept.
+FOR_FAMILIES = "Observed across multiple independent implementation families."
+FOR_PATTERNS = "Multiple interaction patterns indicate real implementation divergence."
+FOR_GAP = "Existing seeded standards do not fully cover the observed concept."
+FOR_CONCEPT = {
+    CANCELLATION: "Cancellation affects client interoperability and safe operation lifecycle handling.",
+    ASYNC: "Asynchronous operations shape polling, progress, result, and retry behavior.",
+}
+FOR_NOTHING = "Score is driven by the current corpus metrics."
+LOW_FAMILIES = "Stage corpus has limited independent-family evidence."
+LOW_PATTERNS = "Low observed divergence may not justify a new standard."
+LOW_COVERED = "Seeded standards already cover part of the concept."
+LOW_CONFLICT = "Some observed practice may conflict with existing standards."
+AGAINST_ALWAYS = ["Stage-1 extraction may undercount dynamic framework routes.", "OpenAPI-documented APIs may not represent internal server practice."]
+AGAINST_PARTIAL = "An implementation guide or profile may be more appropriate than a new RFC."
+AGAINST_VENDORS = "Vendor concentration may inflate apparent prevalence."
+AGAINST_CANCELLATION = "Cancellation semantics may depend on domain-specific safety guarantees."

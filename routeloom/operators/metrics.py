@@ -113,3 +113,8 @@ def scores(concepts: DataFrame, compared: DataFrame, total_families: int | float
     )
     parts = ["prevalence", "independence", "divergence", "interoperability", "gap", "correctness", "tractability"]
     return x.withColumn("score", sum((F.col(p) for p in parts), F.lit(0)))
+
+
+def vendors(rows: DataFrame) -> DataFrame:
+    """concept and the number of owners of its repositories."""
+    return rows.groupBy("concept").agg(F.countDistinct(F.substring_index("repository", "/", 1)).alias("vendors"))

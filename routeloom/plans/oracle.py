@@ -158,12 +158,13 @@ ok AS (SELECT * FROM hs WHERE event_id % 19 > 0 AND event_id % 23 > 0 AND event_
 CATEGORY = " ".join(f"WHEN contains(x, '{m}') THEN '{c}'" for m, c in R.CATEGORY_MARKERS.items())
 DELETES = f"""{LINK}, sl AS (SELECT DISTINCT family_id, target_path FROM lk WHERE strict AND linked),
 dr AS (SELECT family_id, linked, linked AND (family_id, target_path) IN (SELECT (family_id, target_path) FROM sl) AS same, family_id IN (SELECT family_id FROM sl) AS f FROM lk WHERE pattern = '{R.DELETE_PATTERN}')"""
-SAID = """list_concat(['## ' || concept, '- Score: ' || score, '- Families: ' || families, '- Repositories: ' || repositories, '- Patterns: ' || patterns, '- Evidence: ' || evidence, '- Evidence with at most 50 a repository: ' || capped,
+SAID = f"""list_concat(['## ' || concept, '- Score: ' || score, '- Families: ' || families, '- Repositories: ' || repositories, '- Patterns: ' || patterns, '- Evidence: ' || evidence, '- Evidence with at most 50 a repository: ' || capped,
  printf('- Entropy: %.4f', entropy), printf('- Dominant pattern: %.4f', dominant_ratio), printf('- Patterns of one family: %.4f', long_tail_ratio), printf('- Share of the largest repository: %.1f%%', top_repository_share * 100), '- Coverage by standards: ' || coverage],
- list_concat(CASE WHEN families < 20 AND entropy < 0.7 AND coverage NOT IN ('none', 'adjacent') THEN ['- For: The evidence is thin.'] ELSE [] END,
- list_concat(list_filter([CASE WHEN families >= 20 THEN '- For: Many independent families show it.' END, CASE WHEN entropy >= 0.7 THEN '- For: Implementations diverge.' END, CASE WHEN coverage IN ('none', 'adjacent') THEN '- For: No standard covers it directly.' END], lambda v: v IS NOT NULL),
- list_concat(CASE WHEN dominant_ratio < 0.7 AND top_repository_share < 0.2 AND coverage NOT IN ('partial', 'full') THEN ['- Against: None found in the evidence.'] ELSE [] END,
- list_filter([CASE WHEN dominant_ratio >= 0.7 THEN '- Against: One pattern is already common.' END, CASE WHEN top_repository_share >= 0.2 THEN '- Against: One repository gives much of the evidence.' END, CASE WHEN coverage IN ('partial', 'full') THEN '- Against: A standard covers it in part.' END], lambda v: v IS NOT NULL)))))"""
+ list_filter([CASE WHEN families >= 5 THEN '- For: {R.FOR_FAMILIES}' END, CASE WHEN patterns >= 3 THEN '- For: {R.FOR_PATTERNS}' END, CASE WHEN coverage IN ('none', 'adjacent', 'unknown') THEN '- For: {R.FOR_GAP}' END,
+ CASE concept WHEN '{R.CANCELLATION}' THEN '- For: {R.FOR_CONCEPT[R.CANCELLATION]}' ELSE '- For: {R.FOR_CONCEPT[R.ASYNC]}' END,
+ CASE WHEN families < 5 THEN '- Low: {R.LOW_FAMILIES}' END, CASE WHEN patterns <= 1 THEN '- Low: {R.LOW_PATTERNS}' END, CASE WHEN coverage IN ('full', 'partial') THEN '- Low: {R.LOW_COVERED}' END, CASE WHEN conflict THEN '- Low: {R.LOW_CONFLICT}' END,
+ '- Against: {R.AGAINST_ALWAYS[0]}', '- Against: {R.AGAINST_ALWAYS[1]}', CASE WHEN coverage = 'partial' THEN '- Against: {R.AGAINST_PARTIAL}' END, CASE WHEN vendors <= 2 THEN '- Against: {R.AGAINST_VENDORS}' END,
+ CASE WHEN concept = '{R.CANCELLATION}' THEN '- Against: {R.AGAINST_CANCELLATION}' END], lambda v: v IS NOT NULL))"""
 SHARES = " || ' | ' || ".join(f"{k}_families || ' (' || printf('%.1f%%', {k}_families * 100.0 / all_families) || ')'" for k in ("linked", "target", "risk"))
 
 ORACLE_SQL = {
@@ -172,7 +173,7 @@ SELECT repository, repository || '/src/part' || (ord // 500) || '.ts' AS rel_pat
     "discovery_seeds": f"""WITH {ITEM} SELECT 'https://github.com/org/' || long_name AS repository_url, 'org' AS owner, long_name AS name, CASE WHEN event_id % 4 > 0 THEN 'Go' END AS language, CASE {FRAMEWORK} WHEN event_id % 4 > 0 THEN 'Go' END AS framework, event_id % 900 AS stars,
  CASE {CATEGORY} ELSE 'api-candidate' END AS project_category, CASE WHEN {any_of('x', R.TEMPLATE_MARKERS)} THEN 'metadata-indicator' WHEN {any_of('x', R.SDK_MARKERS)} THEN 'generated-sdk-suspect' END AS probable_template, CASE WHEN event_id % 2 = 0 THEN 'vendor' ELSE 'org' END AS vendor, event_id % 260000 AS size_kb FROM ok""",
     "delete_buckets": f"WITH {DELETES} SELECT family_id, CASE WHEN NOT bool_or(linked) THEN 'delete-unlinked' WHEN NOT bool_or(f) THEN 'delete-only-linked' WHEN bool_or(same) THEN 'delete-and-strict-same-resource' ELSE 'delete-and-strict-different-resource' END AS bucket FROM dr GROUP BY family_id",
-    "concept_report": f"{SCORE.replace('SELECT *, prevalence', ', full_score AS (SELECT *, prevalence').removesuffix(' FROM sc')} FROM sc), sd AS (SELECT concept, {SAID} AS l FROM cm JOIN cmp USING (concept) JOIN (SELECT concept, score FROM full_score) USING (concept)) SELECT concept, unnest(range(len(l))) AS nth, unnest(l) AS line FROM sd",
+    "concept_report": f"{SCORE.replace('SELECT *, prevalence', ', full_score AS (SELECT *, prevalence').removesuffix(' FROM sc')} FROM sc), sd AS (SELECT concept, {SAID} AS l FROM cm JOIN cmp USING (concept) JOIN (SELECT concept, count(DISTINCT split_part(repository, '/', 1)) AS vendors FROM rw GROUP BY concept) USING (concept) JOIN (SELECT concept, score FROM full_score) USING (concept)) SELECT concept, unnest(range(len(l))) AS nth, unnest(l) AS line FROM sd",
     "linkage_report": f"WITH {TOTAL} SELECT pattern, '| ' || pattern || ' | ' || all_families || ' | ' || {SHARES} || ' |' AS line FROM tt",
     "concept_metrics": f"WITH {FAMILIES}, {concepts('rw')} SELECT * FROM cm",
     "normalize_path": f"WITH {ROUTES} SELECT ord, {norm('path')} AS normalized_path FROM r",

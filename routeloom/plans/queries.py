@@ -339,10 +339,11 @@ def strict_family_sample(spark, sf_dir):
 
 @query
 def concept_report(spark, sf_dir):
-    concepts = M.concept_metrics(rows(spark, sf_dir))
+    own = rows(spark, sf_dir)
+    concepts = M.concept_metrics(own)
     score = scored(spark, sf_dir, concepts).select("concept", "score")
-    coverage = M.compare_standards(concepts, standards(spark)).select("concept", "coverage")
-    return report.concept_lines(concepts.join(score, "concept").join(coverage, "concept"))
+    compared = M.compare_standards(concepts, standards(spark)).select("concept", "coverage", "conflict")
+    return report.concept_lines(concepts.join(score, "concept").join(compared, "concept").join(M.vendors(own), "concept"))
 
 
 @query

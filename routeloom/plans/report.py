@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+
 
 
 def percentage(n: Column, d: Column) -> Column:
@@ -12,31 +14,45 @@ def percentage(n: Column, d: Column) -> Column:
     return F.when(d > 0, F.format_string("%.1f%%", n * 100.0 / d)).otherwise(F.lit("n/a"))
 
 
-def reasons() -> Column:
-    """Why a concept is worth a standard, as sentences; one at least."""
-    said = F.array_compact(
-        F.array(
-            F.when(F.col("families") >= 20, F.lit("Many independent families show it.")),
-            F.when(F.col("entropy") >= 0.7, F.lit("Implementations diverge.")),
-            F.when(F.col("coverage").isin("none", "adjacent"), F.lit("No standard covers it directly.")),
-        )
+def sentences(*pairs: tuple[Column, str]) -> Column:
+    """The sentences whose conditions hold, in order."""
+    return F.array_compact(F.array(*[F.when(test, F.lit(said)) for test, said in pairs]))
+
+
+def why_high() -> Column:
+    said = sentences(
+        (F.col("families") >= 5, R.FOR_FAMILIES),
+        (F.col("patterns") >= 3, R.FOR_PATTERNS),
+        (F.col("coverage").isin("none", "adjacent", "unknown"), R.FOR_GAP),
+        *[(F.col("concept") == c, text) for c, text in R.FOR_CONCEPT.items()],
+    )
+    return F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(R.FOR_NOTHING)))
+
+
+def why_low() -> Column:
+    return sentences(
+        (F.col("families") < 5, R.LOW_FAMILIES),
+        (F.col("patterns") <= 1, R.LOW_PATTERNS),
+        (F.col("coverage").isin("full", "partial"), R.LOW_COVERED),
+        (F.col("conflict"), R.LOW_CONFLICT),
     )
-    return F.when(F.size(said) > 0, said).otherwise(F.array(F.lit("The evidence is thin.")))
 
 
-def objections() -> Column:
-    said = F.array_compact(
-        F.array(
-            F.when(F.col("dominant_ratio") >= 0.7, F.lit("One pattern is already common.")),
-            F.when(F.col("top_repository_share") >= 0.2, F.lit("One repository gives much of the evidence.")),
-            F.when(F.col("coverage").isin("partial", "full"), F.lit("A standard covers it in part.")),
-        )
+def counterarguments() -> Column:
+    return sentences(
+        *[(F.lit(True), text) for text in R.AGAINST_ALWAYS],
+        (F.col("coverage") == "partial", R.AGAINST_PARTIAL),
+        (F.col("vendors").between(1, 2), R.AGAINST_VENDORS),
+        (F.col("concept") == R.CANCELLATION, R.AGAINST_CANCELLATION),
     )
-    return F.when(F.size(said) > 0, said).otherwise(F.array(F.lit("None found in the evidence.")))
+
+
+def labelled(name: str, said: Column) -> Column:
+    return F.transform(said, lambda x: F.concat(F.lit(f"- {name}: "), x))
 
 
 def concept_lines(scored: DataFrame) -> DataFrame:
-    """concept, nth, line of a report on concepts with metrics, coverage and score."""
+    """concept, nth, line of a report on concepts with metrics, vendors, coverage, conflict and score."""
     count = lambda label, c: F.concat(F.lit(f"- {label}: "), F.col(c).cast("string"))
     ratio = lambda label, c: F.format_string(f"- {label}: %.4f", F.col(c))
     head = F.array(
@@ -53,7 +69,8 @@ def concept_lines(scored: DataFrame) -> DataFrame:
         F.concat(F.lit("- Share of the largest repository: "), percentage(F.col("top_repository_share"), F.lit(1))),
         F.concat(F.lit("- Coverage by standards: "), F.col("coverage")),
     )
-    lines = F.concat(head, F.transform(reasons(), lambda x: F.concat(F.lit("- For: "), x)), F.transform(objections(), lambda x: F.concat(F.lit("- Against: "), x)))
+    parts = [("For", why_high()), ("Low", why_low()), ("Against", counterarguments())]
+    lines = F.concat(head, *[labelled(n, p) for n, p in parts])
     return scored.select("concept", F.posexplode(lines).alias("nth", "line")).withColumn("nth", F.col("nth").cast("long"))
 
 
