@@ -157,3 +157,73 @@ def test_unknown_profile():
 
 def test_empty_queue_selects_nothing(spark):
     assert sampling.select_cells(sampling.cell_queue(linked_rows(spark, 1).where("false"), "1"), {"put-action-cancel": 2}).count() == 0
+
+
+def plain_selection(queues, sizes):
+    """The greedy pass over whole queues, without the bound on what it looks at."""
+    from collections import Counter, deque
+
+    from routeloom.functions import rules as R
+
+    waiting = {k: deque(v) for k, v in queues.items()}
+    here, overall, out = Counter(), Counter(), []
+
+    def pull(pattern, bucket):
+        line = waiting.get((pattern, bucket), deque())
+        while line:
+            family, repository = line.popleft()
+            if here[pattern, repository] < R.PER_PATTERN_CAP and overall[repository] < R.TOTAL_CAP:
+                here[pattern, repository] += 1
+                overall[repository] += 1
+                return [(pattern, bucket, family, repository)]
+        return []
+
+    for pattern, size in sizes.items():
+        if pattern == R.DELETE_PATTERN:
+            for bucket, n in R.DELETE_BUCKET_SIZES[size].items():
+                for _ in range(n):
+                    out += pull(pattern, bucket)
+            continue
+        present = [b for b in R.BUCKETS if (pattern, b) in waiting]
+        mine = []
+        for b, n in sampling.quotas(size, present).items():
+            for _ in range(n):
+                mine += pull(pattern, b)
+        while len(mine) < size:
+            got = []
+            for b in present:
+                got += pull(pattern, b) if len(mine) + len(got) < size else []
+            if not got:
+                break
+            mine += got
+        out += mine
+    return out
+
+
+def test_selection_and_draws_equal_plain_python(spark):
+    import random
+
+    linked = linked_rows(spark, 60)
+    queue = sampling.cell_queue(linked, "5")
+    queues = {}
+    for r in sorted(queue.collect(), key=lambda r: r["position"]):
+        queues.setdefault((r["pattern"], r["bucket"]), []).append((r["family_id"], r["repository"]))
+    for sizes in ({"post-subresource-cancel": 9, "put-action-cancel": 4, "delete-operation-resource": 10}, {"post-subresource-cancel": 70, "put-action-cancel": 3}):
+        got = sampling.select_cells(queue, sizes).orderBy("nth").collect()
+        assert [(r["pattern"], r["bucket"], r["family_id"], r["repository"]) for r in got] == plain_selection(queues, sizes)
+
+    twice = linked.unionByName(linked.withColumn("normalized_path", F.concat("normalized_path", F.lit("/x"))))
+    for r in sampling.representatives(twice, "5").collect():
+        at = random.Random(f"5:cell-route:{r['pattern']}:{r['family_id']}").randrange(2)
+        assert r["normalized_path"].endswith("/x") == (at == 1) and r["cell_routes"] == 2
+
+    order = [f"f{i:03}" for i in range(60)]
+    random.Random("5:strict-cancellation-family").shuffle(order)
+    got = sampling.family_sample(linked, "5", "minimum").orderBy("position").collect()
+    assert [r["family_id"] for r in got] == order and got[0]["weight"] == 1.0
+    assert got[0]["memberships"] == "post-subresource-cancel,put-action-cancel"
+
+    paths = [f"r{i:03}" for i in range(60)]
+    random.Random("5:route-record:put-action-cancel:any").shuffle(paths)
+    got = sampling.route_sample(linked, "5", "minimum").where("stratum = 'put-action-cancel:any'").orderBy("position").collect()
+    assert [r["repository"] for r in got] == paths[:15] and got[0]["weight"] == 4.0
