@@ -7,6 +7,7 @@ license.spdx_id, archived, fork, private.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -20,7 +21,8 @@ REPOSITORY_URL = r"^https://github\.com/([^/]+)/([^/#?]+?)(?:\.git)?/?$"
 
 
 def contains_any(text: Column, markers: list[str]) -> Column:
-    return reduce(or_, [text.contains(m) for m in markers])
+    # One pattern, so that the text's expression is there once and not once a marker.
+    return text.rlike("|".join(re.escape(m) for m in markers))
 
 
 def haystack(full_name: bool = True) -> Column:
@@ -44,33 +46,34 @@ def included() -> Column:
     return fits & ~flagged & ~tool & ~library & ~other & contains_any(every, R.SERVER_MARKERS + R.DOMAIN_MARKERS)
 
 
-def category() -> Column:
-    found = T.first_marker(haystack(), list(R.CATEGORY_MARKERS), F.lit(None))
+def category(every: Column) -> Column:
+    found = T.first_marker(every, list(R.CATEGORY_MARKERS), F.lit(None))
     named = F.create_map(*[F.lit(x) for pair in R.CATEGORY_MARKERS.items() for x in pair])
     return F.coalesce(F.element_at(named, found), F.lit("api-candidate"))
 
 
-def template() -> Column:
-    every = haystack()
+def template(every: Column) -> Column:
     return F.when(contains_any(every, R.TEMPLATE_MARKERS), F.lit("metadata-indicator")).when(contains_any(every, R.SDK_MARKERS), F.lit("generated-sdk-suspect"))
 
 
 def seeds(items: DataFrame) -> DataFrame:
     """Included items with a repository address, as seed rows."""
     owner, name = (F.regexp_extract(F.trim("html_url"), REPOSITORY_URL, i) for i in (1, 2))
-    return items.where(included() & F.col("html_url").rlike(REPOSITORY_URL)).select(
+    rows = items.where(included() & F.col("html_url").rlike(REPOSITORY_URL)).withColumn("every_", haystack())
+    every = F.col("every_")
+    return rows.select(
         F.col("html_url").alias("repository_url"),
         owner.alias("owner"),
         name.alias("name"),
         "language",
-        T.first_marker(haystack(), R.FRAMEWORK_MARKERS, F.col("language")).alias("framework"),
+        T.first_marker(every, R.FRAMEWORK_MARKERS, F.col("language")).alias("framework"),
         F.col("stargazers_count").alias("stars"),
         F.col("forks_count").alias("forks"),
         F.col("license.spdx_id").alias("license"),
         F.col("pushed_at").alias("last_activity"),
         "default_branch",
-        category().alias("project_category"),
-        template().alias("probable_template"),
+        category(every).alias("project_category"),
+        template(every).alias("probable_template"),
         F.coalesce(F.col("owner.login"), owner).alias("vendor"),
         F.col("size").alias("size_kb"),
         F.slice("topics", 1, 20).alias("discovery_topics"),
