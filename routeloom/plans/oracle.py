@@ -159,13 +159,14 @@ CATEGORY = " ".join(f"WHEN contains(x, '{m}') THEN '{c}'" for m, c in R.CATEGORY
 DELETES = f"""{LINK}, sl AS (SELECT DISTINCT family_id, target_path FROM lk WHERE strict AND linked),
 dr AS (SELECT family_id, linked, linked AND (family_id, target_path) IN (SELECT (family_id, target_path) FROM sl) AS same, family_id IN (SELECT family_id FROM sl) AS f FROM lk WHERE pattern = '{R.DELETE_PATTERN}')"""
 SAID = f"""list_concat(['## ' || concept, '- Score: ' || score, '- Families: ' || families, '- Repositories: ' || repositories, '- Patterns: ' || patterns, '- Evidence: ' || evidence, '- Evidence with at most 50 a repository: ' || capped,
- printf('- Entropy: %.4f', entropy), printf('- Dominant pattern: %.4f', dominant_ratio), printf('- Patterns of one family: %.4f', long_tail_ratio), printf('- Share of the largest repository: %.1f%%', top_repository_share * 100), '- Coverage by standards: ' || coverage],
+ printf('- Entropy: %.4f', entropy), printf('- Dominant pattern: %.4f', dominant_ratio), printf('- Patterns of one family: %.4f', long_tail_ratio), printf('- Share of the largest repository: %.4f', top_repository_share), '- Coverage by standards: ' || coverage],
  list_filter([CASE WHEN families >= 5 THEN '- For: {R.FOR_FAMILIES}' END, CASE WHEN patterns >= 3 THEN '- For: {R.FOR_PATTERNS}' END, CASE WHEN coverage IN ('none', 'adjacent', 'unknown') THEN '- For: {R.FOR_GAP}' END,
  CASE concept WHEN '{R.CANCELLATION}' THEN '- For: {R.FOR_CONCEPT[R.CANCELLATION]}' ELSE '- For: {R.FOR_CONCEPT[R.ASYNC]}' END,
  CASE WHEN families < 5 THEN '- Low: {R.LOW_FAMILIES}' END, CASE WHEN patterns <= 1 THEN '- Low: {R.LOW_PATTERNS}' END, CASE WHEN coverage IN ('full', 'partial') THEN '- Low: {R.LOW_COVERED}' END, CASE WHEN conflict THEN '- Low: {R.LOW_CONFLICT}' END,
  '- Against: {R.AGAINST_ALWAYS[0]}', '- Against: {R.AGAINST_ALWAYS[1]}', CASE WHEN coverage = 'partial' THEN '- Against: {R.AGAINST_PARTIAL}' END, CASE WHEN vendors <= 2 THEN '- Against: {R.AGAINST_VENDORS}' END,
  CASE WHEN concept = '{R.CANCELLATION}' THEN '- Against: {R.AGAINST_CANCELLATION}' END], lambda v: v IS NOT NULL))"""
-SHARES = " || ' | ' || ".join(f"{k}_families || ' (' || printf('%.1f%%', {k}_families * 100.0 / all_families) || ')'" for k in ("linked", "target", "risk"))
+TENTHS = "({0}_families * 1000 // all_families + CASE WHEN ({0}_families * 1000 % all_families) * 2 > all_families OR ({0}_families * 1000 % all_families) * 2 = all_families AND ({0}_families * 1000 // all_families) % 2 = 1 THEN 1 ELSE 0 END)"
+SHARES = " || ' | ' || ".join(f"{k}_families || ' (' || {TENTHS.format(k)} // 10 || '.' || {TENTHS.format(k)} % 10 || '%)'" for k in ("linked", "target", "risk"))
 
 ORACLE_SQL = {
     "extracted_evidence": f"""WITH {AS_FILES}, ln AS (SELECT ord, (2 * row_number() OVER (PARTITION BY repository, ord // 500 ORDER BY ord) - 1)::INT AS line FROM r)

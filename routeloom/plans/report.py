@@ -10,8 +10,10 @@ from ..functions import rules as R
 
 
 def percentage(n: Column, d: Column) -> Column:
-    """Share as x.x%, or n/a without a denominator."""
-    return F.when(d > 0, F.format_string("%.1f%%", n * 100.0 / d)).otherwise(F.lit("n/a"))
+    """Share of two counts as x.x%, exact ties to even, or n/a without a denominator."""
+    whole, rest = F.floor(n * 1000 / d), (n * 1000) % d
+    tenths = whole + F.when((rest * 2 > d) | ((rest * 2 == d) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.when(d > 0, F.format_string("%d.%d%%", F.floor(tenths / 10), tenths % 10)).otherwise(F.lit("n/a"))
 
 
 def sentences(*pairs: tuple[Column, str]) -> Column:
@@ -66,7 +68,7 @@ def concept_lines(scored: DataFrame) -> DataFrame:
         ratio("Entropy", "entropy"),
         ratio("Dominant pattern", "dominant_ratio"),
         ratio("Patterns of one family", "long_tail_ratio"),
-        F.concat(F.lit("- Share of the largest repository: "), percentage(F.col("top_repository_share"), F.lit(1))),
+        ratio("Share of the largest repository", "top_repository_share"),
         F.concat(F.lit("- Coverage by standards: "), F.col("coverage")),
     )
     parts = [("For", why_high()), ("Low", why_low()), ("Against", counterarguments())]
