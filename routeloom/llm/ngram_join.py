@@ -16,9 +16,14 @@ gives fewer than m pairs), and the links make components; where a tile holds
 several, once more, with the node before it too. Then pairs of different
 components of a tile are compared by bitmap signatures: the bits
 that differ bound the overlap from above. What is left is decided by exact
-intersection of the sorted arrays. Pairs inside a component need no check, so
-large groups of near copies aren't expanded, and no candidate is dropped.
-Tiles of more than BLOCK nodes are dealt out as pairs of blocks.
+intersection of the sorted arrays. Pairs inside a component need no check to
+name it, and no candidate is dropped. Tiles of more than BLOCK nodes are dealt
+out as pairs of blocks.
+
+Every link lies inside a component, so the links are then counted there: all
+pairs of different nodes of a component within the size band are intersected
+exactly, by pairs of blocks. Each document gets the number of rows it links
+with; the pairs themselves, which grow with the square of a group, aren't rows.
 
 Shingles are 64-bit hashes of their words' 64-bit hashes.
 
@@ -44,6 +49,10 @@ SHINGLE = 5
 PERCENT = 75
 BITS = 2048
 BLOCK = 1024
+#: A block of a component holds about this many shingles at most.
+LOAD = 1 << 20
+#: Nodes and shingles that are intersected at a time.
+SIDE, WIDTH = 256, 4096
 SPREAD = 0
 NODES = "doc_id long, n_shingles long, node long, prefix array<long>, shingles binary, bitmap binary"
 
@@ -245,6 +254,82 @@ def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     return candidates.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of ``left`` with each of ``right``."""
+    out = np.zeros((len(left), len(right)))
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    sides = []
+    for sets, every in ((left, a), (right, b)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, every), max(len(both) - 1, 0))
+        there = both[at] == every if len(both) else np.zeros(len(every), dtype=bool)
+        order = np.argsort(at[there], kind="stable")
+        sides.append((row[there][order], at[there][order]))
+    for start in range(0, len(both), WIDTH):
+        dense = []
+        for sets, (row, at) in zip((left, right), sides):
+            low, high = np.searchsorted(at, (start, start + WIDTH))
+            own = np.zeros((len(sets), min(WIDTH, len(both) - start)), dtype=np.float32)
+            own[row[low:high], at[low:high] - start] = 1
+            dense.append(own)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def link_counts(members: DataFrame) -> DataFrame:
+    """node and n_links: the rows of other nodes of its component that it links with, all pairs intersected.
+
+    ``members``: component, low, high (blocks), block, node, n, n_rows, shingles.
+    """
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        block, node, n, n_rows = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+        sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
+        total = np.zeros(len(rows), dtype=np.int64)
+        same_block = rows[0][5]
+        for i in range(0, len(rows), SIDE):
+            one = np.arange(i, min(i + SIDE, len(rows)))
+            for j in range(i, len(rows), SIDE):
+                # Rows come in order of size.
+                if not enough(n[one[-1]], n[j]):
+                    break
+                two = np.arange(j, min(j + SIDE, len(rows)))
+                link = linked(overlaps([sets[k] for k in one], [sets[k] for k in two]), n[one][:, None], n[two][None, :])
+                link &= one[:, None] < two[None, :]
+                if not same_block:
+                    link &= block[one][:, None] != block[two][None, :]
+                total[one] += link @ n_rows[two]
+                total[two] += n_rows[one] @ link
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], ["node", "n_links"])
+
+    def run(batches):
+        group, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "low", "high", "block", "node", "n", "n_rows", "shingles")]
+            for component, low, high, block, node, n, n_rows, shingles in zip(*columns):
+                if (component, low, high) != group:
+                    if len(rows) > 1:
+                        yield compare(rows)
+                    group, rows = (component, low, high), []
+                rows.append((block, node, n, n_rows, shingles, low == high))
+        if len(rows) > 1:
+            yield compare(rows)
+
+    ordered = members.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "n", "node")
+    return ordered.mapInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def in_blocks(scratch: Scratch, sets: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of each component, dealt as pairs of blocks, for ``link_counts``."""
+    placed = label.join(sets.select("node", "n"), "node").join(classes.select("node", "n_rows"), "node")
+    placed = scratch.write(placed, "members")
+    sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / LOAD)).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, "component").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    dealt = dealt.join(sets.select("node", "shingles"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "n_rows", "shingles")
+
+
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """node and component (the least node reachable) of every node of ``links`` (a, b).
 
@@ -289,9 +374,10 @@ def unsettled(scratch: Scratch, tiles: DataFrame, label: DataFrame, name: str) -
     return placed.join(several, "token"), several
 
 
-def jaccard_components(scratch: Scratch, docs: DataFrame) -> DataFrame:
+def jaccard_components(scratch: Scratch, docs: DataFrame, count_links: bool = False) -> DataFrame:
     """doc_id, n_shingles, node and component_id of every row of ``docs`` (doc_id, text).
 
+    ``count_links``: and n_links, the number of other rows that the row links with.
     The frame reads tables of ``scratch``: settle or write it before they go.
     """
     rows = nodes(scratch, docs)
@@ -321,11 +407,20 @@ def jaccard_components(scratch: Scratch, docs: DataFrame) -> DataFrame:
     names = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = scratch.write(grouped.join(names, "component").select("node", "component_id"), "named")
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component_id = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    if not count_links:
+        return out.select("doc_id", "n_shingles", "node", component_id)
+    others = scratch.write(link_counts(in_blocks(scratch, sets, classes, label)), "link_counts")
+    # Rows with the same set are linked as well; rows without shingles with nothing.
+    own = classes.join(others, "node", "left").select("node", (F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"))
+    own = scratch.write(own.where("n_links > 0"), "n_links")
+    out = out.join(own, "node", "left")
+    n_links = F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")
+    return out.select("doc_id", "n_shingles", "node", component_id, n_links)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Scratch(spark) as scratch:
-        out = jaccard_components(scratch, docs.select("doc_id", "text"))
-        return settle(out.select("doc_id", "n_shingles", "component_id"))
+        out = jaccard_components(scratch, docs.select("doc_id", "text"), count_links=True)
+        return settle(out.select("doc_id", "n_shingles", "component_id", "n_links"))

@@ -87,6 +87,27 @@ def test_ngram_join(spark, corpus, documents, run_bytes, monkeypatch):
     assert sorted(got, key=str) == sorted(jaccard(corpus), key=str)
 
 
+def test_ngram_join_counts_every_link(spark, corpus, documents, run_bytes, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16 if run_bytes < 1 << 20 else 1024)
+    monkeypatch.setattr(ngram_join, "SIDE", 8 if run_bytes < 1 << 20 else 256)
+    monkeypatch.setattr(ngram_join, "WIDTH", 64 if run_bytes < 1 << 20 else 4096)
+    sets = []
+    for _, text in corpus:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    n_links = [0] * len(sets)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                n_links[i] += 1
+                n_links[j] += 1
+    with Scratch(spark) as scratch:
+        rows = ngram_join.jaccard_components(scratch, documents, count_links=True).collect()
+    want = [(*row, n) for row, n in zip(jaccard(corpus), n_links)]
+    assert max(n_links) > 20
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in rows], key=str) == sorted(want, key=str)
+
+
 def test_loser_tree():
     import random
 
