@@ -3,8 +3,10 @@
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary text,
 give each word (lower-cased, with boundaries) a log-likelihood ratio. The
 highest order is counted per class; both classes back off to the same lower
-orders, so expressions that neither class has seen often cancel out. The
-lowest order is gathered over all documents. Class counts are counts of
+orders, so expressions that neither class has seen often cancel out. The lower
+orders are gathered over all documents, in distributed tables: the lowest as
+counts, those between as continuation counts (how many letters precede a gram
+anywhere). Class counts are counts of
 documents, so one text that repeats an expression counts once. Toxic text is
 ordinary text with a share ``MIX`` of toxic expressions: a word's ratio r
 becomes log(1 - MIX + MIX * exp(r)). A document's evidence is the mean of that
@@ -14,8 +16,10 @@ curve fitted on other labelled rows turns it into the score.
 Rows with crc32(doc_id) mod 3 = 0 train the class counts, those with 2
 calibrate, those with 1 are held out. Each class of each fit uses at most
 ``max_docs`` documents, those with the smallest hash of their id (the
-calibration weighs them by how common the class is); the model is therefore
-bounded however large the corpus is, and is broadcast.
+calibration weighs them by how common the class is). Where neither class has
+seen a letter's context in the highest order, both classes give it the same
+probability and the ratio is 0; so the model that is broadcast needs the lower
+orders of the sample's contexts only, with their counts over all documents.
 
 Defined results: null or empty text has no evidence and gets the score of the
 prior; a doc_id labelled more than once counts as toxic if any label says so;
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import as_bytes, settle
+from ._common import Scratch, as_bytes, settle
 
 LOW, HIGH = 3, 6
 #: Letters are coded in 10 bits, so a 6-gram is exact in 60.
@@ -44,6 +48,10 @@ LEAST_DISCOUNT = 1.0
 MAX_DOCS = 4096
 THRESHOLD = 0.7
 CACHE = 400_000
+#: Words whose grams are made at a time.
+SLICE = 50_000
+#: Kind of the rows that hold the distinct n-grams of order HIGH of all documents, by bucket.
+EVERY = 2
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -76,9 +84,9 @@ class Model:
     """Sorted n-gram keys with what their order adds, for each class, and the weight of backing off."""
 
     keys: dict[int, np.ndarray]
-    discounted: dict[int, np.ndarray]  # (2, n): share of the context, after the discount
+    discounted: dict[int, np.ndarray]  # (2, n), or (1, n) for both classes: share of the context, after the discount
     contexts: dict[int, np.ndarray]
-    backoff: dict[int, np.ndarray]  # (2, n): weight of the next lower order
+    backoff: dict[int, np.ndarray]  # (2, n) or (1, n): weight of the next lower order
     base_keys: np.ndarray
     base: np.ndarray  # shared probability of the lowest order
     floor: float
@@ -108,12 +116,12 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def kneser_ney(counts: dict[int, tuple[np.ndarray, np.ndarray]], shared: tuple[np.ndarray, np.ndarray]) -> Model:
-    """Model from counts by order (keys, (2, n) class counts) and the shared lowest order (keys, counts).
+def kneser_ney(top: tuple[np.ndarray, np.ndarray], middle: dict[int, tuple[np.ndarray, np.ndarray, tuple[int, int]]], shared: tuple[np.ndarray, np.ndarray]) -> Model:
+    """Model from the highest order (keys, (2, n) class counts), those between (keys, continuation counts, n1 and n2) and the lowest (keys, counts).
 
-    The highest order uses counts of each class, those between use continuation
-    counts (how many letters precede the gram in either class); the discount of
-    an order is n1/(n1+2*n2).
+    The highest order uses counts of each class, the others counts of all
+    documents; the discount of an order is n1/(n1+2*n2), with n1 and n2 the
+    grams that are counted once and twice.
     """
     model = Model({}, {}, {}, {}, np.zeros(0), np.zeros(0), 1.0 / CODES)
     keys, total = shared
@@ -125,16 +133,15 @@ def kneser_ney(counts: dict[int, tuple[np.ndarray, np.ndarray]], shared: tuple[n
     # Half a count each for unseen letters, spread evenly.
     model.base = (total + types[inverse] / CODES) / (of_context[inverse] + types[inverse]) if len(keys) else np.zeros(0)
     for order in range(HIGH, LOW, -1):
-        keys, own = counts[order]
-        if order < HIGH:
-            above, over = counts[order + 1]
-            kept, inverse = np.unique(above % CODES**order, return_inverse=True)
-            seen = np.bincount(inverse, weights=over.sum(axis=0) > 0, minlength=len(kept)) if len(kept) else np.zeros(0)
-            keys, own = kept, np.stack([seen, seen])
+        if order == HIGH:
+            keys, own = top
+            once = [((row == 1).sum(), (row == 2).sum()) for row in own]
+        else:
+            keys, n, n1_n2 = middle[order]
+            own, once = n[None, :], [n1_n2]
         contexts, inverse = np.unique(keys // CODES, return_inverse=True)
-        discounted, backoff = np.zeros((2, len(keys))), np.ones((2, len(contexts)))
-        for c in (0, 1):
-            n1, n2 = (own[c] == 1).sum(), (own[c] == 2).sum()
+        discounted, backoff = np.zeros(own.shape), np.ones((len(own), len(contexts)))
+        for c, (n1, n2) in enumerate(once):
             discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
             if order == HIGH:
                 discount = max(discount, LEAST_DISCOUNT)
@@ -170,8 +177,8 @@ def bounded_labels(labels: DataFrame, remainder: int, max_docs: int) -> tuple[di
     return out, np.array([there.get(label, 0) / max(1, sizes[label]) for label in (0, 1)])
 
 
-def gram_counts(docs: DataFrame, chosen: dict[int, int]) -> tuple[dict, tuple[np.ndarray, np.ndarray]]:
-    """Class counts of orders LOW+1 and HIGH from the chosen documents, and counts of order LOW over all documents."""
+def gram_rows(docs: DataFrame, chosen: dict[int, int], buckets: int) -> DataFrame:
+    """Counts of order LOW over all documents (kind -1) and of order HIGH of each class of the chosen ones; distinct grams of order HIGH of all by bucket (kind EVERY)."""
 
     def run(batches):
         from collections import Counter
@@ -180,17 +187,31 @@ def gram_counts(docs: DataFrame, chosen: dict[int, int]) -> tuple[dict, tuple[np
 
         everywhere: Counter = Counter()
         by_class: tuple[Counter, Counter] = (Counter(), Counter())
-        tables: dict[tuple[int, int], list] = {}
+        tables: dict[int, list] = {}
 
         def flush(counter, kind):
             if not counter:
                 return
             words, n = list(counter), np.fromiter(counter.values(), dtype=np.int64, count=len(counter))
-            for order in [LOW] if kind < 0 else [HIGH]:
-                key, word = grams(words, order)
-                tables.setdefault((kind, order), []).append(totals(key, n[word]))
+            key, word = grams(words, LOW if kind < 0 else HIGH)
+            tables.setdefault(kind, []).append(totals(key, n[word]))
             counter.clear()
 
+        def distinct(words):
+            key = np.unique(np.concatenate([np.unique(grams(words[i : i + SLICE], HIGH)[0]) for i in range(0, len(words), SLICE)]))
+            # Grams with the same last LOW+1 letters meet, so that both continuation counts can be made there.
+            mixed = (key % CODES ** (LOW + 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            key, bucket = key[order], bucket[order]
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            for i in np.flatnonzero(ends[1:] > ends[:-1]):
+                yield rows(EVERY, [int(i)], [0], [0], [key[ends[i] : ends[i + 1]].tobytes()])
+
+        def rows(kind, size, gram, n, held):
+            columns = [pa.array([kind] * len(size), pa.int32()), pa.array(size, pa.int32()), pa.array(gram, pa.int64()), pa.array(n, pa.int64()), pa.array(held, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "size", "gram", "n", "held"])
+
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 own = words_of(text)
@@ -198,42 +219,89 @@ def gram_counts(docs: DataFrame, chosen: dict[int, int]) -> tuple[dict, tuple[np
                 if doc in chosen:
                     by_class[chosen[doc]].update(set(own))
                 if len(everywhere) > CACHE:
+                    yield from distinct(list(everywhere))
                     flush(everywhere, -1)
                 for label in (0, 1):
                     if len(by_class[label]) > CACHE:
                         flush(by_class[label], label)
+        if everywhere:
+            yield from distinct(list(everywhere))
         flush(everywhere, -1)
         flush(by_class[0], 0)
         flush(by_class[1], 1)
-        for (kind, order), parts in tables.items():
+        for kind, parts in tables.items():
             key, n = totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             for i in range(0, len(key), 100_000):
                 k = key[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(np.full(len(k), order, dtype=np.int32)), pa.array(k), pa.array(n[i : i + 100_000])], ["kind", "size", "gram", "n"]
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind int, size int, gram long, n long")
-    # Trigrams of 1,024 codes, and n-grams of a bounded sample: a bounded table.
-    table = rows.groupBy("kind", "size", "gram").agg(F.sum("n").alias("n")).toArrow()
-    kind, size = table["kind"].to_numpy(), table["size"].to_numpy()
-    gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
-
-    def of(k, order):
-        pick = (kind == k) & (size == order)
-        at = np.argsort(gram[pick])
-        return gram[pick][at], n[pick][at]
-
-    counts = {}
-    ordinary, toxic = of(0, HIGH), of(1, HIGH)
-    for order in range(HIGH, LOW, -1):
-        sides = [totals(g % CODES**order, c) for g, c in (ordinary, toxic)]
+                yield rows(kind, np.full(len(k), LOW if kind < 0 else HIGH), k, n[i : i + 100_000], [None] * len(k))
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind int, size int, gram long, n long, held binary")
+
+
+def continuations(rows: DataFrame, contexts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, tuple[int, int]]]:
+    """For each order between: grams, continuation counts, and how many grams of the whole corpus are counted once and twice.
+
+    Only grams whose context ends one of ``contexts`` (of order HIGH) are
+    returned, with all the letters that follow there; the counts are over the
+    distinct grams of all documents.
+    """
+    needed = {order: np.unique(contexts % CODES ** (order - 1)) for order in range(LOW + 1, HIGH)}
+    held = rows.sparkSession.sparkContext.broadcast(needed)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def count(parts):
+            key = np.unique(np.concatenate(parts))
+            for order in range(HIGH - 1, LOW, -1):
+                key, n = np.unique(key % CODES**order, return_counts=True)
+                _, there = lookup(held.value[order], key // CODES)
+                # Rows with negative grams say how many grams are counted once and twice.
+                gram = np.concatenate([key[there], [-1, -2]])
+                size = np.concatenate([n[there], [(n == 1).sum(), (n == 2).sum()]])
+                yield pa.RecordBatch.from_arrays([pa.array([order] * len(gram), pa.int32()), pa.array(gram, pa.int64()), pa.array(size, pa.int64())], ["size", "gram", "n"])
+
+        bucket, parts = None, []
+        for batch in batches:
+            for b, grams_there in zip(batch.column("size").to_pylist(), batch.column("held").to_pylist()):
+                if b != bucket:
+                    if parts:
+                        yield from count(parts)
+                    bucket, parts = b, []
+                parts.append(np.frombuffer(grams_there, dtype=np.int64))
+        if parts:
+            yield from count(parts)
+
+    every = rows.where(F.col("kind") == EVERY).select("size", "held").repartition("size").sortWithinPartitions("size")
+    table = every.mapInArrow(run, "size int, gram long, n long").toArrow()
+    size, gram, n = (table[c].to_numpy() for c in ("size", "gram", "n"))
+    out = {}
+    for order in needed:
+        keys, counts = gram[(size == order) & (gram >= 0)], n[(size == order) & (gram >= 0)]
+        at = np.argsort(keys)
+        out[order] = (keys[at], counts[at], tuple(int(n[(size == order) & (gram == -k)].sum()) for k in (1, 2)))
+    return out
+
+
+def gram_counts(docs: DataFrame, chosen: dict[int, int]) -> tuple[tuple, dict, tuple[np.ndarray, np.ndarray]]:
+    """Class counts of order HIGH from the chosen documents; continuation counts of the orders between, and counts of order LOW, over all documents."""
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        rows = scratch.write(gram_rows(docs, chosen, int(spark.conf.get("spark.sql.shuffle.partitions"))), "grams")
+        # Trigrams of 1,024 codes, and n-grams of a bounded sample: a bounded table.
+        table = rows.where(F.col("kind") != EVERY).groupBy("kind", "gram").agg(F.sum("n").alias("n")).toArrow()
+        kind, gram, n = (table[c].to_numpy() for c in ("kind", "gram", "n"))
+
+        def of(k):
+            at = np.argsort(gram[kind == k])
+            return gram[kind == k][at], n[kind == k][at]
+
+        sides = [of(0), of(1)]
         keys = np.union1d(sides[0][0], sides[1][0])
         own = np.zeros((2, len(keys)), dtype=np.int64)
         for c, (g, m) in enumerate(sides):
             own[c, np.searchsorted(keys, g)] = m
-        counts[order] = (keys, own)
-    return counts, of(-1, LOW)
+        return (keys, own), continuations(rows, np.unique(keys // CODES)), of(-1)
 
 
 def totals(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +362,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
     spark = docs.sparkSession
     train, _ = bounded_labels(labels, 0, max_docs)
     tune, stands_for = bounded_labels(labels, 2, max_docs)
-    counts, shared = gram_counts(docs, train)
-    model = spark.sparkContext.broadcast(vars(kneser_ney(counts, shared)))
+    model = spark.sparkContext.broadcast(vars(kneser_ney(*gram_counts(docs, train))))
     rows = evidence(docs, model, set(tune)).select("record.doc_id", "evidence").toArrow()
     x = rows["evidence"].to_numpy()
     y = np.array([tune[d] for d in rows["doc_id"].to_pylist()], dtype=float)

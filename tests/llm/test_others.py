@@ -188,3 +188,21 @@ def test_fullest_is_optimal():
         best = max(s for s in (sum(n * length for n, (length, _) in zip(c, lengths)) for c in product(*[range(k + 1) for _, k in lengths])) if s <= room)
         chosen = packing.fullest(lengths, room)
         assert sum(k * v for k, v in chosen.items()) == best and all(v <= dict(lengths)[k] for k, v in chosen.items())
+
+
+def test_toxicity_lower_orders_are_counted_over_all_documents(spark):
+    texts = ["bramble brambly", "tremble trembling", "bumble crumble grumble", "Scramble ramble brambled", None, "gamble gambler bramble"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    (keys, own), middle, _ = toxicity.gram_counts(docs, {0: 0, 1: 1})
+    ends = lambda texts, order: set(toxicity.grams(sorted({w for t in texts if t for w in t.lower().split()}), order)[0].tolist())
+    assert set(keys.tolist()) == ends(texts[:2], 6) and own.sum() == len(toxicity.grams(["bramble", "brambly"], 6)[0]) + len(toxicity.grams(["tremble", "trembling"], 6)[0])
+    grams, sample = ends(texts, 6), {k // 1024 for k in ends(texts[:2], 6)}
+    for order in (5, 4):
+        count = {}
+        for g in grams:
+            count[g % 1024**order] = count.get(g % 1024**order, 0) + 1
+        grams = set(count)
+        needed = {c % 1024 ** (order - 1) for c in sample}
+        keys, n, once = middle[order]
+        assert dict(zip(keys.tolist(), n.tolist())) == {g: m for g, m in count.items() if g // 1024 in needed}
+        assert once == tuple(sum(m == k for m in count.values()) for k in (1, 2))
