@@ -1,13 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words.
+"""Substring dedup by repeated windows over words, in place of relative Lempel-Ziv parsing.
 
-Every run of documents is a reference block. Its index is the sampled phrases
-of its windows (``window`` words each; see ``runs``) and, for phrases that
-occur again, the hashes of the windows around them. The index is asked by key
-range, so that all blocks are consulted at once and no text is sent. A
-document is then parsed greedily: at each place the factor is the longest
-stretch all of whose windows are found elsewhere; where the next window isn't,
-the factor ends exactly behind the last word of the last window that is. Such
-factors, at least one window long, are the duplicate spans and go.
+Every run of documents has an index: the sampled phrases of its windows
+(``window`` words each; see ``runs``) and, for phrases that occur again, the
+hashes of the windows around them. The index is asked by key range, so that
+all runs are consulted at once and no text is sent. The words of all windows
+that are found elsewhere too are the duplicate spans and go. Nothing is
+parsed: a span may join windows that lie at unrelated places elsewhere, and
+no reference position or longest match is kept.
 
 Windows are compared by a 64-bit hash of their words (each word by a 64-bit
 hash of its bytes).
@@ -98,7 +97,7 @@ class Windows:
 
 
 def repeated_words(units: list[np.ndarray], heard: dict, parts: int) -> list[np.ndarray]:
-    """For each document, which of its words are in a duplicate factor."""
+    """For each document, which of its words are in a repeated window."""
     found = Windows(units)
     ask = found.asked(heard.get(PHRASES, {}), parts)
     keys, inverse, counts = np.unique(found.hash[ask], return_inverse=True, return_counts=True)
@@ -108,7 +107,7 @@ def repeated_words(units: list[np.ndarray], heard: dict, parts: int) -> list[np.
     first = np.cumsum(sizes) - sizes
     marks = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
     marks[first[doc] + start] = 1
-    # Factors: from the first window's start to the last one's end.
+    # Spans: from the first window's start to the last one's end.
     running = np.cumsum(marks[:-1], dtype=np.int32)
     covered = running.copy()
     covered[WINDOW:] -= running[:-WINDOW]
