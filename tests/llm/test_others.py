@@ -153,7 +153,8 @@ def test_packing(spark, corpus, documents):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(packing.tokenizer_file())
-    library.encode_special_tokens = True
+    more = [(9100, "a <|endoftext|> b<|endoftext|>"), (9101, "very long " * 200_000), (9102, "x" * 300_000)]
+    corpus, documents = corpus + more, documents.unionByName(spark.createDataFrame(more, documents.schema))
     want = {}
     for doc, text in corpus:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, packing.END_ID], dtype="<u4")
@@ -178,6 +179,27 @@ def test_packing(spark, corpus, documents):
     assert packing.packed_sequences(rows).agg(F.sum("n_tokens")).first()[0] == total
 
 
+@pytest.mark.parametrize("fast", [True, False])
+def test_ids_are_the_librarys(tmp_path, fast):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(packing.tokenizer_file(), encoding="utf-8").read())
+    if not fast:  # ids out of merge order
+        vocab = spec["model"]["vocab"]
+        a, b = list(vocab)[-2:]
+        vocab[a], vocab[b] = vocab[b], vocab[a]
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    library, ours = Tokenizer.from_file(str(tmp_path / "t.json")), packing.TextTokenizer(str(tmp_path / "t.json"))
+    assert (ours.fast is not None) == fast
+    random.seed(3)
+    parts = [*"abéßзЖ中ي \n\t  '.,#12½²\x01 　’\x85\x1c\x0b\xa0😀", "<|endoftext|>", "<|endof", "'s", "'ll", " a", "…", "   ", "\u0301", " the", "ing"]
+    for _ in range(3000):
+        text = "".join(random.choices(parts, k=random.randrange(14)))
+        assert np.frombuffer(ours.ids(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_fullest_is_optimal():
     from itertools import product
 
