@@ -1,26 +1,39 @@
 """Quality rules with risk-controlled thresholds, with DataFrame operations only.
 
 Base counts come from array functions over each whole text. A rule rejects
-documents whose signal is above a cutoff. The cutoffs are chosen per stratum
-(language) on labelled good documents: for each signal the candidates are
-tested from the loosest to the strictest, each against the hypothesis that it
-rejects more than ``max_rejection`` of good documents, with the exact binomial
-tail; testing stops at the first that is not significant. Within a signal this
-fixed sequence needs no correction; across signals and strata the level is
-divided by their number (Bonferroni). The candidates are fixed beforehand, so
-all labelled rows are a holdout. With probability 1 - ``risk`` every chosen
-cutoff rejects at most ``max_rejection`` of the good documents of its stratum.
-
-Defined results: null or empty text has no words; a stratum without enough
-labels gets no cutoff, so only the base rules reject there; a null language is
-a stratum of its own; a doc_id that is labelled more than once counts by its
-lowest quality; repeated rows are judged alike; other columns are ignored.
-Three-word windows are compared by 64-bit hashes within one document.
+documents with a signal above its cutoff. PATH fixes joint settings of all
+cutoffs beforehand, from the loosest to the strictest; each rejects whatever
+the one before it rejects. They are chosen per stratum (language) on labelled
+good documents that pass the base rules: the settings are tested in order,
+each against the hypothesis that it rejects more than ``max_rejection`` of
+good documents, with the exact binomial tail, and testing stops at the first
+that is not significant. Within a stratum this fixed sequence needs no
+correction and the bound holds for all signals together; across strata the
+level is divided by their number (Bonferroni). The path is fixed beforehand,
+so all labelled rows are a holdout; equal texts count as one trial. With
+probability 1 - ``risk`` the settings reject at most ``max_rejection`` of the
+good documents of every stratum that is tested alone.
+
+A stratum with too few labels to pass even if nothing is rejected (fewer than
+log(level) / log(1 - max_rejection)) is tested together with the others of
+this kind, as one pooled stratum at the same level; the bound then holds for
+their union. Where the pool is too small as well, and in strata without any
+label, only the base rules reject.
+
+Defined results: null or empty text has no words; a null language is a stratum
+of its own; a doc_id that is labelled more than once counts by its lowest
+quality; repeated rows are judged alike; values equal to a cutoff are kept; a
+very long text is one row of arrays with an entry for each word, so it needs
+memory of a few times its size; an empty table gives an empty result; other
+columns are ignored. Three-word windows are compared by 64-bit hashes within
+one document.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +43,8 @@ from ._common import Scratch, settle
 WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
+MAX_REJECTION = 0.02
+RISK = 0.05
 
 #: Cutoffs of each signal, loosest first.
 CUTOFFS: dict[str, list[float]] = {
@@ -39,6 +54,14 @@ CUTOFFS: dict[str, list[float]] = {
 }
 
 
+#: Joint settings, from no cutoff at all: each adds one signal's next cutoff, in turn.
+PATH: list[dict[str, float]] = []
+for _step in range(max(map(len, CUTOFFS.values()))):
+    for _name, _cutoffs in CUTOFFS.items():
+        if _step < len(_cutoffs):
+            PATH.append({**(PATH[-1] if PATH else {}), _name: _cutoffs[_step]})
+
+
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -103,55 +126,45 @@ def _added(total: Column, term: Column) -> Column:
     return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("total"))
 
 
-def risk_controlled_cutoffs(good: DataFrame, stratum: str, max_rejection: float = 0.005, risk: float = 0.05) -> DataFrame:
-    """Cutoffs from labelled good documents: stratum, signal, cutoff, n_good, n_rejected.
+def risk_controlled_settings(good: DataFrame, stratum: str, max_rejection: float = MAX_REJECTION, risk: float = RISK) -> DataFrame:
+    """Settings from labelled good documents: stratum, pooled, setting (number in PATH, -1: none), n_good, n_rejected (of the stratum or pool).
 
-    ``good`` has a column for each signal of CUTOFFS. The strictest cutoff
-    that passed, with all looser ones, is kept; a signal without one is absent.
+    ``good`` has a column for each signal of CUTOFFS.
     """
-    counts = [
-        F.count_if(F.col(name) > cutoff).alias(f"{name}@{step}") for name, cutoffs in CUTOFFS.items() for step, cutoff in enumerate(cutoffs)
-    ]
-    table = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n_good"), *counts)
-    tests = F.array(
-        *[
-            F.struct(F.lit(name).alias("signal"), F.lit(step).alias("step"), F.lit(cutoff).alias("cutoff"), F.col(f"{name}@{step}").alias("n_rejected"))
-            for name, cutoffs in CUTOFFS.items()
-            for step, cutoff in enumerate(cutoffs)
-        ]
-    )
-    strata = table.agg(F.count("*").alias("n_strata"))
-    tests = table.crossJoin(F.broadcast(strata)).select("stratum", "n_good", "n_strata", F.explode(tests).alias("t")).select("stratum", "n_good", "n_strata", "t.*")
+    names = [f"r{t}" for t in range(len(PATH))]
+    over = [reduce(or_, [F.col(name) > cutoff for name, cutoff in setting.items()]) for setting in PATH]
+    table = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n_good"), *[F.count_if(x).alias(n) for n, x in zip(names, over)])
+    # One row for each stratum; their number fixes the level.
+    strata = table.crossJoin(F.broadcast(table.agg((F.lit(risk) / F.count("*")).alias("level"))))
+    strata = strata.withColumn("pooled", F.col("n_good") * math.log1p(-max_rejection) > F.log("level"))
+    alone = F.when(~F.col("pooled"), F.col("stratum"))
+    groups = strata.groupBy("pooled", alone.alias("alone")).agg(F.sum("n_good").alias("n_good"), F.first("level").alias("level"), *[F.sum(n).alias(n) for n in names])
     # More rejections than the allowed mean can't be significant; their tail needn't be summed.
-    few = F.when(F.col("n_rejected") <= F.col("n_good") * max_rejection, binomial_tail(F.col("n_rejected"), F.col("n_good"), max_rejection)).otherwise(F.lit(1.0))
-    passed = few <= F.lit(risk) / (F.col("n_strata") * len(CUTOFFS))
-    failed_at = F.min(F.when(~F.col("passed"), F.col("step")))
-    runs = tests.withColumn("passed", passed).groupBy("stratum", "signal").agg(
-        failed_at.alias("failed_at"), F.array_sort(F.collect_list(F.struct("step", "cutoff", "n_rejected"))).alias("steps"), F.first("n_good").alias("n_good")
-    )
-    chosen = F.element_at(F.filter("steps", lambda s: F.col("failed_at").isNull() | (s["step"] < F.col("failed_at"))), -1)
-    runs = runs.where(F.coalesce(F.col("failed_at"), F.lit(1)) > 0).withColumn("chosen", chosen)
-    return runs.select("stratum", "signal", "chosen.cutoff", "n_good", "chosen.n_rejected")
+    few = [F.when(F.col(n) <= F.col("n_good") * max_rejection, binomial_tail(F.col(n), F.col("n_good"), max_rejection)).otherwise(F.lit(1.0)) for n in names]
+    failed = F.array_position(F.array(*[x > F.col("level") for x in few]), True)
+    setting = F.when(failed > 0, failed - 2).otherwise(len(PATH) - 1).cast("int")
+    rejected = F.when(F.col("setting") >= 0, F.get(F.array(*names), F.col("setting"))).otherwise(0)
+    groups = groups.withColumn("setting", setting).select("pooled", "alone", "setting", "n_good", rejected.alias("n_rejected"))
+    s, g = strata.select("stratum", "pooled", alone.alias("alone")).alias("s"), groups.alias("g")
+    same = (F.col("s.pooled") == F.col("g.pooled")) & F.col("s.alone").eqNullSafe(F.col("g.alone"))
+    return s.join(g, same).select("s.stratum", "s.pooled", "g.setting", "g.n_good", "g.n_rejected")
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", max_rejection: float = 0.005, risk: float = 0.05) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", max_rejection: float = MAX_REJECTION, risk: float = RISK) -> DataFrame:
     """``docs`` columns ``id_col`` and ``stratum`` with the base counts, base_failed and kept."""
     with Scratch(docs.sparkSession) as scratch:
         counted = base_counts(docs.select(id_col, stratum, "text"))
-        counted = counted.drop("text").withColumn("base_failed", base_failed()).select("*", *[signal(name).alias(name) for name in CUTOFFS])
-        counted = scratch.write(counted, "counts")
+        counted = counted.withColumn("_same", F.xxhash64("text")).drop("text").withColumn("base_failed", base_failed())
+        counted = scratch.write(counted.select("*", *[signal(name).alias(name) for name in CUTOFFS]), "counts")
         good = labels.groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
-        held = counted.where(~F.col("base_failed")).join(good, id_col)
-        cutoffs = risk_controlled_cutoffs(held, stratum, max_rejection, risk)
+        held = counted.where(~F.col("base_failed")).join(good, id_col).dropDuplicates([stratum, "_same"])
+        chosen = risk_controlled_settings(held, stratum, max_rejection, risk)
+        limits = F.array(*[F.struct(*[F.lit(setting.get(name, math.inf)).alias(name) for name in CUTOFFS]) for setting in PATH])
         # One row for each stratum; languages are few, and the join falls back to a shuffle if they aren't.
-        wide = cutoffs.groupBy("stratum").pivot("signal", list(CUTOFFS)).agg(F.first("cutoff"))
-        wide = wide.select("stratum", *[F.col(name).alias(f"_max_{name}") for name in CUTOFFS])
-        judged = counted.join(wide, counted[stratum].eqNullSafe(wide["stratum"]), "left")
-        above = [F.coalesce(F.col(name) > F.col(f"_max_{name}"), F.lit(False)) for name in CUTOFFS]
-        rejected = F.col("base_failed")
-        for x in above:
-            rejected = rejected | x
-        return settle(judged.withColumn("kept", ~rejected).drop("stratum", *[f"_max_{name}" for name in CUTOFFS]))
+        limits = chosen.where("setting >= 0").select(F.col("stratum").alias("_stratum"), F.get(limits, F.col("setting")).alias("_limit"))
+        judged = counted.join(limits, counted[stratum].eqNullSafe(F.col("_stratum")), "left")
+        rejected = reduce(or_, [F.coalesce(F.col(name) > F.col("_limit")[name], F.lit(False)) for name in CUTOFFS], F.col("base_failed"))
+        return settle(judged.withColumn("kept", ~rejected).drop("_stratum", "_limit", "_same"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,12 +78,65 @@ def test_quality_bound_is_exact(spark):
         assert r.p == pytest.approx(sum(comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(r.k + 1)), rel=1e-9)
 
 
-def test_quality_cutoffs_protect_good_documents(spark):
+def tail(k, n, rate):
+    from math import comb
+
+    return sum(comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k + 1))
+
+
+def plain_settings(good, max_rejection=quality_rules.MAX_REJECTION, risk=quality_rules.RISK):
+    """The strictest joint setting for each stratum, in plain Python; ``good``: stratum and signals."""
+    rows = {}
+    for stratum, *signals in good:
+        rows.setdefault(stratum, []).append(dict(zip(quality_rules.CUTOFFS, signals)))
+    level = risk / max(1, len(rows))
+    small = {s for s, own in rows.items() if (1 - max_rejection) ** len(own) > level}
+    out = {}
+    for stratum in rows:
+        own = [x for s in (small if stratum in small else {stratum}) for x in rows[s]]
+        out[stratum] = -1
+        for t, setting in enumerate(quality_rules.PATH):
+            if tail(sum(any(x[k] > c for k, c in setting.items()) for x in own), len(own), max_rejection) > level:
+                break
+            out[stratum] = t
+    return out
+
+
+def test_quality_settings_equal_plain_python(spark):
     random.seed(2)
-    good = [("en", 0.25 if random.random() < 0.02 else 0.0, 5.0, 0.0) for _ in range(4000)] + [("xx", 0.0, 5.0, 0.0)] * 20
-    df = spark.createDataFrame(good, ["lang", *quality_rules.CUTOFFS])
-    got = {(r.stratum, r.signal): r.cutoff for r in quality_rules.risk_controlled_cutoffs(df, "lang").collect()}
-    assert got == {("en", "symbols_per_word"): 0.3, ("en", "chars_per_word"): 8.0, ("en", "dup_line_share"): 0.5}
+    draw = lambda share: 0.25 if random.random() < share else 0.0
+    good = [("en", draw(0.03), 5.0, 0.0) for _ in range(1500)] + [("de", draw(0.001), 8.5 if random.random() < 0.02 else 5.0, 0.0) for _ in range(900)]
+    good += [(s, draw(0.0), 5.0, 0.0) for s in ("xx", None, "yy") for _ in range(100)]
+    for rows in (good, good[-100:], good[:1500]):
+        df = spark.createDataFrame(rows, f"lang string, {', '.join(f'{c} double' for c in quality_rules.CUTOFFS)}")
+        got = {r.stratum: r.setting for r in quality_rules.risk_controlled_settings(df, "lang").collect()}
+        assert got == plain_settings(rows)
+    assert got["en"] >= 0 and plain_settings(good)["xx"] == len(quality_rules.PATH) - 1 and plain_settings(good[-100:])["yy"] == -1
+
+
+def test_quality_guarantee_by_simulation():
+    """A setting that truly rejects more than the bound is chosen at most as often as the risk allows."""
+    rng = np.random.default_rng(5)
+    n, rate, risk = 1200, quality_rules.MAX_REJECTION, quality_rules.RISK
+    wrong = sum(tail(int(k), n, rate) <= risk for k in rng.binomial(n, rate * 1.001, 2000))
+    assert wrong / 2000 <= risk * 1.2
+
+
+def test_quality_verdicts_equal_plain_python(spark):
+    """Whole query at two sizes: kept follows the settings, and the method rejects beyond the base rules."""
+    for sf in ("sf0.001", "sf0.01"):
+        path = f"/root/testdata/{sf}"
+        out = quality_rules.apply_quality_rules(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+        rows = [r.asDict() for r in out.collect()]
+        quality, texts = {}, {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+        for r in spark.read.parquet(f"{path}/labels.parquet").collect():
+            quality[r.doc_id] = min(quality.get(r.doc_id, 1), r.quality)
+        good = {texts[r["doc_id"]]: (r["lang"], *[r[c] for c in quality_rules.CUTOFFS]) for r in rows if quality.get(r["doc_id"]) == 1 and not r["base_failed"]}
+        chosen = plain_settings(list(good.values()))
+        for r in rows:
+            setting = quality_rules.PATH[chosen[r["lang"]]] if chosen.get(r["lang"], -1) >= 0 else {}
+            assert r["kept"] == (not r["base_failed"] and not any(r[k] > c for k, c in setting.items()))
+    assert sum(not r["kept"] and not r["base_failed"] for r in rows) > 10
 
 
 def test_toxicity_held_out(spark):
