@@ -7,12 +7,15 @@ from .chat_format import op1_chat_formatting
 from .decontamination import op7_benchmark_decontamination
 from .external_shuffle import op4_external_shuffle
 from .ngram_join import op5_ngram_jaccard_join
+from .oracle import ORACLE_SQL
 from .quality_rules import op2_quality_rules
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op10_suffix_array_dedup
 from .toxicity import op3_toxicity
 from .warc_archive import op6_warc_archive
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
@@ -25,5 +28,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
