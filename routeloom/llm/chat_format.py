@@ -17,7 +17,9 @@ Defined results: null role or text is empty; a parent that is not in the table
 makes the message a root; messages on a parent cycle belong to no path; a
 repeated ``message_id`` within a tree counts once (the least row wins); null
 score is 0; ties in score go to the smaller leaf id; a null tree id is a tree
-of its own; an empty table gives an empty result. Other columns are ignored.
+of its own; a very long conversation is one row, made by one task in time that
+grows with its length; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -103,40 +105,26 @@ def format_conversations(messages: DataFrame, branches: int | None = None, mask_
         members = reply_paths(whole, scratch)
         m, t = members.alias("m"), whole.alias("t")
         on = F.col("m.tree_id").eqNullSafe(F.col("t.tree_id")) & (F.col("m.message_id") == F.col("t.message_id"))
-        rows = m.join(t, on).select("m.tree_id", "m.leaf_id", "m.message_id", "m.up", "t.score", "t.role", "t.text")
+        tail = END + "\n"
+        head = F.concat(F.lit(START), escape_role(F.col("t.role")), F.lit("\n"))
+        rows = m.join(t, on).select("m.tree_id", "m.leaf_id", "m.message_id", (-F.col("m.up")).alias("at"), "t.score", "t.role", head.alias("head"), escape(F.col("t.text")).alias("body"))
+        # Where each turn starts: a running sum over its path, in the partitioning that the grouping uses too.
+        before = Window.partitionBy("tree_id", "leaf_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        size = (F.char_length("head") + F.char_length("body") + len(tail)).cast("long")
+        rows = rows.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.char_length("head"))
+        span = F.when(F.col("role") == mask_role, F.struct("start", F.char_length("body").cast("long").alias("length")))
         paths = rows.groupBy("tree_id", "leaf_id").agg(
-            F.max_by("message_id", "up").alias("root_id"),
+            F.min_by("message_id", "at").alias("root_id"),
             F.avg("score").alias("branch_score"),
-            F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text")).alias("turns"),
+            F.array_sort(F.collect_list(F.struct("at", F.concat("head", "body", F.lit(tail)).alias("piece")))).alias("pieces"),
+            F.array_sort(F.collect_list(span)).alias("loss_spans"),
         )
         best = Window.partitionBy("tree_id", "root_id").orderBy(F.desc("branch_score"), "leaf_id")
         paths = paths.withColumn("branch_rank", F.row_number().over(best).cast("long"))
         if branches is not None:
             paths = paths.where(F.col("branch_rank") <= branches)
-        pieces = F.transform(
-            F.array_sort("turns"),
-            lambda x: F.struct(
-                x["role"].alias("role"),
-                F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n")).alias("head"),
-                escape(x["text"]).alias("body"),
-            ),
-        )
-        paths = paths.select("tree_id", "leaf_id", "root_id", "branch_rank", "branch_score", pieces.alias("pieces"))
-        tail = END + "\n"
-        spans = F.aggregate(
-            "pieces",
-            F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans")),
-            lambda a, p: F.struct(
-                (a["at"] + F.char_length(p["head"]) + F.char_length(p["body"]) + len(tail)).alias("at"),
-                F.when(
-                    p["role"] == mask_role,
-                    F.array_append(a["spans"], F.struct((a["at"] + F.char_length(p["head"])).alias("start"), F.char_length(p["body"]).cast("long").alias("length"))),
-                ).otherwise(a["spans"]).alias("spans"),
-            ),
-            lambda a: a["spans"],
-        )
-        formatted = F.concat_ws("", F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(tail))))
-        return settle(paths.select("tree_id", "leaf_id", "root_id", "branch_rank", "branch_score", formatted.alias("formatted"), spans.alias("loss_spans")))
+        formatted = F.concat_ws("", F.transform("pieces", lambda p: p["piece"]))
+        return settle(paths.select("tree_id", "leaf_id", "root_id", "branch_rank", "branch_score", formatted.alias("formatted"), "loss_spans"))
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:

@@ -28,6 +28,42 @@ def test_chat_tree_paths(spark):
     assert chat_format.format_conversations(spark.createDataFrame([], TREE)).count() == 0
 
 
+@pytest.mark.parametrize("branches", [None, 1, 2])
+def test_chat_forests_equal_plain_python(spark, branches):
+    random.seed(11)
+    rows = []
+    for tree in (1, 2, None):
+        for k in range(40):
+            parent = random.choice([None, 77, *range(k)]) if k else None
+            rows.append((tree, k, parent, random.choice(["user", "assistant", None]), random.choice(["", "a", None, "<|im_end|>é", "x\n" * 50]), random.choice([None, 0.0, 1.0, 2.0])))
+    want = []
+    for tree in (1, 2, None):
+        nodes = {r[1]: r for r in rows if r[0] == tree}
+        leaves = [k for k in nodes if not any(r[2] == k for r in nodes.values())]
+        paths = []
+        for leaf in leaves:
+            path = [leaf]
+            while nodes[path[0]][2] in nodes:
+                path.insert(0, nodes[path[0]][2])
+            paths.append((path[0], sum(nodes[k][5] or 0.0 for k in path) / len(path), leaf, path))
+        for root in {p[0] for p in paths}:
+            own = sorted((p for p in paths if p[0] == root), key=lambda p: (-p[1], p[2]))
+            for rank, (_, score, leaf, path) in enumerate(own[:branches], 1):
+                masked = [nodes[k][4] or "" for k in path if nodes[k][3] == "assistant"]
+                want.append((str(tree), leaf, root, rank, round(score, 9), [(nodes[k][3] or "", nodes[k][4] or "") for k in path], masked))
+    out = chat_format.format_conversations(spark.createDataFrame(rows, TREE).repartition(4), branches=branches)
+    turns = {}
+    for r in chat_format.read_turns(out).orderBy("turn").collect():
+        turns.setdefault((str(r.tree_id), r.leaf_id), []).append((r.role, r.text))
+    import re
+
+    got = []
+    for r in out.collect():
+        masked = [re.sub(r"<\\(\\*)\|", r"<\1|", r.formatted[s.start : s.start + s.length]) for s in r.loss_spans]
+        got.append((str(r.tree_id), r.leaf_id, r.root_id, r.branch_rank, round(r.branch_score, 9), turns[(str(r.tree_id), r.leaf_id)], masked))
+    assert sorted(got) == sorted(want) and len(got) > 6
+
+
 def test_chat_deep_chain(spark):
     rows = [(1, i, i - 1 or None, "user" if i % 2 else "assistant", f"t{i}", 0.0) for i in range(1, 71)]
     out = chat_format.format_conversations(spark.createDataFrame(rows, TREE))
@@ -172,6 +208,99 @@ def test_warc(spark, tmp_path):
     )
 
 
+def test_warc_headers_are_valid_and_ids_unique(spark, tmp_path):
+    pages = [(k % 7, f"http://h/{k}", f"<p>{k % 4}") for k in range(60)] + [(None, "u", "<p>1"), (-3, "v", "<p>2"), (-3, "v", "<p>2")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    warc_archive.write_archive(frame, str(tmp_path / "a"), date="2020-02-03T04:05:06Z")
+    rows = warc_archive.read_records(spark, str(tmp_path / "a")).collect()
+    assert len(rows) == len(pages) and spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
+    records = {}
+    for r in rows:
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines[1:])
+        assert lines[0] == "WARC/1.1" and fields["WARC-Date"] == "2020-02-03T04:05:06Z"
+        assert rest[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+        records[fields["WARC-Record-ID"]] = fields
+    assert len(records) == len(pages)
+    for fields in records.values():
+        if fields["WARC-Type"] == "revisit":
+            assert records[fields["WARC-Refers-To"]]["WARC-Type"] == "response"
+            assert records[fields["WARC-Refers-To"]]["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
+    assert sum(f["WARC-Type"] == "response" for f in records.values()) == 4
+
+
+def least_distance(p, t):
+    """Edit distance of p to the closest part of t."""
+    row = list(range(len(p) + 1))
+    best = row[-1]
+    for x in t:
+        new = [0]
+        for j, y in enumerate(p, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_decontamination_equals_brute_force(spark):
+    random.seed(8)
+    letters = "abcd  e"
+    word = lambda n: "".join(random.choices(letters, k=n))
+    items = [(k, word(random.choice([1, 2, 8, 12, 13, 20, 30, 60]))) for k in range(40)] + [(90, None), (91, ""), (92, "  "), (3, "again and again, the same id")]
+    docs = []
+    for k in range(80):
+        text = list(word(40) + (random.choice(items[:40])[1]) + word(30))
+        for _ in range(random.randrange(5)):
+            at = random.randrange(40, len(text) - 20)
+            text[at : at + random.randrange(2)] = random.choice(["", "x", "ab"])
+        docs.append((k, "".join(text)))
+    docs += [(200 + k, items[k][1]) for k in range(6)] + [(300, None), (301, ""), (302, "very long " * 3000 + "ab")]
+    want = []
+    clean = lambda t: decontamination.normalise((t or "").encode())
+    for doc, text in docs:
+        for item, pattern in items:
+            t, p = clean(text), clean(pattern)
+            budget = int(len(p) * decontamination.ERROR_RATE)
+            if not budget:
+                if p and p == t:
+                    want.append((doc, item, 0))
+            elif len(t) < 5000 and (d := least_distance(p, t)) <= budget:
+                want.append((doc, item, d))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    with pytest.warns(UserWarning, match="too short"):
+        rows = decontamination.find_contamination(d, i).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in rows) == sorted(want)
+    texts = {doc: clean(text) for doc, text in docs}
+    patterns = {item: clean(t) for item, t in items[:40] if item != 3}
+    for r in rows:
+        if r.item_id in patterns:
+            assert least_distance(patterns[r.item_id], texts[r.doc_id][r.match_start : r.match_end]) == r.distance
+    assert sum(r.distance > 0 for r in rows) > 5
+
+
+def test_shuffle_query(spark):
+    """Sizes, checksums and the law of the whole query, and a slot for every row."""
+    path = "/root/testdata/sf0.01"
+    rows = external_shuffle.op4_external_shuffle(spark, path).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots = {}
+    for r in rows:
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 8, zlib.crc32(texts[r.doc_id]), "rows", None)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_bucket_offsets(spark):
+    counts = {b: (b * 7) % 5 + 1 for b in range(0, 90, 3)}
+    with Scratch(spark) as scratch:
+        offsets, n = external_shuffle.bucket_offsets(scratch, spark.createDataFrame(list(counts.items()), "bucket long, count long"), group=8)
+        got = {r.bucket: r.before for r in offsets.collect()}
+    assert n == sum(counts.values()) and got == {b: sum(c for o, c in counts.items() if o < b) for b in counts}
+
+
 def test_edit_matching(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards box with daft zombies tonight"
     edited = item.replace("quick", "quikc").replace("zombies", "zombis")
