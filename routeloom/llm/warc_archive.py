@@ -10,8 +10,9 @@ response, the others are revisits of it (a payload of any length counts, from
 the response.
 
 Defined results: null html is an empty payload; a null page_id comes after all
-others; control characters in a URL are percent-encoded in the header; an
-empty table gives an empty archive; other columns are ignored.
+others; line ends in a URL are percent-encoded in the header; a very long page
+is one payload; an empty table gives an empty archive; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ._common import Scratch, settle
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: The pages say nothing of when they were fetched.
+DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,84 +43,76 @@ def url_header(url: Column) -> Column:
     return out
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
+def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
     """Write ``path``/payloads (digest, payload: one row per distinct payload) and ``path``/headers.
 
-    ``pages``: page_id (long), url, html. Headers: page_id, digest, head (the
-    record's bytes before the payload: WARC header, blank line, HTTP head),
-    has_payload (false for revisits).
+    ``pages``: page_id (long), url, html. ``date``: WARC-Date of all records.
+    Headers: page_id, digest, head (the record's bytes before the payload:
+    WARC header, blank line, HTTP head), has_payload (false for revisits).
     """
     spark = pages.sparkSession
     with Scratch(spark) as scratch:
         payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
         source = pages.select("page_id", "url", payload.alias("payload")).select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"))
         keys = source.select("page_id", url_header(F.col("url")).alias("url"), "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("bytes"))
-        keys = scratch.write(keys, "keys")
+        keys = scratch.write(keys.withColumn("row", F.monotonically_increasing_id()), "keys")
+        # Of equal payloads the least page_id, and of rows that repeat it the least row, is the response.
+        least = F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row"))
+        copies = keys.groupBy("digest").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1")
         # Only payloads that occur again need a look-up; a written table has a size that the join can check.
-        copies = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
-        copies = scratch.write(copies, "copies")
-        # One response for a repeated first page_id.
-        firsts = keys.join(copies, "digest").where(F.col("page_id").eqNullSafe(F.col("first_id")))
-        one = firsts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("tied"))
-        one = scratch.write(one, "tied")
-        k = keys.join(copies, "digest", "left").join(one, "digest", "left")
-        first = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-        alone = k.where(F.col("tied").isNull()).withColumn("is_first", F.when(F.col("page_id").isNull() & F.col("first_id").isNotNull(), F.lit(False)).otherwise(first)).withColumn("copy_no", F.lit(0))
-        number = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1
-        tied = k.where(F.col("tied")).withColumn("copy_no", F.when(F.col("page_id").eqNullSafe(F.col("first_id")), number).otherwise(F.lit(0)))
-        tied = tied.withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("copy_no") == 0))
-        records = alone.unionByName(tied)
-        page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+        copies = scratch.write(copies.select("digest", "first.*").withColumnsRenamed({"page_id": "first_id", "row": "first_row"}), "copies")
+        records = keys.join(copies, "digest", "left").withColumn("is_first", F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)))
+        named = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
+        own_id = F.when(F.col("is_first"), named("page_id")).otherwise(F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
+        refers = F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), named("first_id"))
         lines = F.concat(
             F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("is_first"), F.lit("response")).otherwise(F.lit("revisit")),
-            F.lit("\r\nWARC-Record-ID: <urn:page:"), page, F.lit(":"), F.col("copy_no").cast("string"), F.lit(":"), F.substring("digest", 1, 16),
-            F.lit(">\r\nWARC-Target-URI: "), F.col("url"),
+            F.lit("\r\nWARC-Record-ID: "), own_id,
+            F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.col("url"),
             F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("sha1")),
-            F.when(F.col("is_first"), F.lit("")).otherwise(F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.coalesce(F.col("first_id").cast("string"), F.lit("null")), F.lit(":0:"), F.substring("digest", 1, 16), F.lit(">"))),
+            F.when(F.col("is_first"), F.lit("")).otherwise(refers),
             F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
             (F.lit(len(HTTP)) + F.when(F.col("is_first"), F.col("bytes")).otherwise(F.lit(0))).cast("string"),
             F.lit("\r\n\r\n" + HTTP),
         )
         records.select("page_id", "digest", F.encode(lines, "UTF-8").alias("head"), F.col("is_first").alias("has_payload")).write.option("compression", "zstd").parquet(f"{path}/headers")
-        # The payload of a repeated digest is stored from its first page; the rest need no look-up.
-        s = source.select("page_id", "digest", "payload").join(copies, "digest", "left")
-        single = s.where(F.col("first_id").isNull() & F.col("digest").isNotNull())
-        shared = s.where(F.col("page_id") == F.col("first_id"))
-        lone_null = single.join(copies.where("first_id is null").select("digest"), "digest", "left_anti")
-        lost = s.where(F.col("page_id").isNull()).join(copies.where("first_id is null").select("digest"), "digest", "left_semi")
-        store = lone_null.select("digest", "payload").unionByName(shared.unionByName(lost).dropDuplicates(["digest"]).select("digest", "payload"))
-        store.write.option("compression", "zstd").parquet(f"{path}/payloads")
+        # A payload that occurs again is stored from its first page; the rest need no look-up.
+        s = source.select("page_id", "digest", "payload").join(copies.select("digest", "unnamed", "first_id"), "digest", "left")
+        alone = s.where(F.col("unnamed").isNull())
+        shared = s.where(F.col("unnamed").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["digest"])
+        alone.unionByName(shared).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+
+
+def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """digest and payload of the archive; a payload that doesn't hash to its digest is an error."""
+    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("payload doesn't match its digest")))
+    return spark.read.parquet(f"{path}/payloads").withColumn("payload", sound)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Original records, rebuilt: page_id, record (exact bytes), payload (of the digest, verified), head."""
+    """Original records, rebuilt: page_id, digest, record (exact bytes), head. Only responses are joined to payload bytes."""
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads")
-    verified = payloads.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("payload doesn't match its digest"))))
-    body = F.when(F.col("has_payload"), F.col("payload")).otherwise(F.lit(b""))
     end = F.lit(b"\r\n\r\n")
-    return headers.join(verified, "digest").select("page_id", F.concat("head", body, end).alias("record"), "payload", "head")
+    responses = headers.where("has_payload").join(verified_payloads(spark, path), "digest")
+    responses = responses.select("page_id", "digest", F.concat("head", "payload", end).alias("record"), "head")
+    return responses.unionByName(headers.where("not has_payload").select("page_id", "digest", F.concat("head", end).alias("record"), "head"))
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     with Scratch(spark) as scratch:
         write_archive(pages, f"{scratch.path}/archive")
-        records = read_records(spark, f"{scratch.path}/archive")
-        # Parsed from the record's own bytes; a revisit's payload is the one that it refers to.
+        # Parsed from each record's own bytes.
         head = F.decode(F.col("head"), "UTF-8")
-        kind = F.regexp_extract(head, r"\r\nWARC-Type: (\w+)\r\n", 1)
         length = F.regexp_extract(head, r"\r\nContent-Length: (\d+)\r\n", 1).cast("int") - len(HTTP)
-        own = F.expr(f"substring(record, octet_length(head) + 1, cast(regexp_extract(decode(head, 'UTF-8'), '\r\nContent-Length: ([0-9]+)\r\n', 1) as int) - {len(HTTP)})")
-        payload = F.when(kind == "response", own).otherwise(F.col("payload"))
         refers = F.regexp_extract(head, r"\r\nWARC-Refers-To: <urn:page:(-?\d+):", 1)
-        parsed = records.select("page_id", kind.alias("record_type"), payload.alias("payload"), F.when(refers != "", refers).alias("refers_to"), length.alias("length"))
-        return settle(
-            parsed.select(
-                "page_id",
-                F.octet_length("payload").cast("long").alias("payload_bytes"),
-                base32(F.sha1("payload")).alias("payload_digest"),
-                "record_type",
-                F.col("refers_to").cast("long").alias("refers_to"),
-            )
-        )
+        records = read_records(spark, f"{scratch.path}/archive")
+        records = records.withColumn("record_type", F.regexp_extract(head, r"\r\nWARC-Type: (\w+)\r\n", 1)).withColumn("size", length)
+        own = F.expr("substring(record, octet_length(head) + 1, size)")
+        parsed = records.select("page_id", "digest", "record_type", F.when(refers != "", refers).cast("long").alias("refers_to"), F.octet_length(own).cast("long").alias("payload_bytes"), base32(F.sha1(own)).alias("payload_digest"))
+        parsed = scratch.write(parsed, "parsed")
+        columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        responses, revisits = parsed.where("record_type = 'response'"), parsed.where("record_type = 'revisit'")
+        # A revisit's payload is that of the response it refers to.
+        full = revisits.drop("payload_bytes", "payload_digest").join(responses.select("digest", "payload_bytes", "payload_digest"), "digest")
+        return settle(responses.select(*columns).unionByName(full.select(*columns)))
