@@ -10,15 +10,19 @@ as one space.
 The items are a stated query set: they are taken in blocks of at most
 ``block_bytes`` and each block is broadcast and run against all documents.
 
-Defined results: null or empty texts and items match nothing; items shorter
-than ``min_chars`` after normalisation are compared without edits; items that
-repeat are reported each; a document is reported once per item, with its
-closest place (the first of equals); repeated rows are reported each; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null or empty texts and items match nothing; an item too
+short to allow an edit (the budget is 0 below 1 / error_rate characters) says
+little about a text that merely holds it, so it matches only a text that is
+the item as a whole, and a warning tells how many such items there are; items
+that repeat are reported each; a document is reported once per item, with its
+closest place (the first of equals); repeated rows are reported each; a very
+long text is searched whole, in one task; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +31,6 @@ from pyspark.sql import functions as F
 from ._common import as_bytes, settle
 
 ERROR_RATE = 0.08
-MIN_CHARS = 24
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, distance int, match_start int, match_end int"
 
@@ -75,15 +78,19 @@ def place_bits(item: str) -> dict[str, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
         self.items = []
+        #: Items without a budget, by their text.
+        self.short: dict[str, list[int]] = {}
         hits: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if not text:
+            budget = int(len(text) * error_rate)
+            if not budget:
+                if text:
+                    self.short.setdefault(text, []).append(item_id)
                 continue
-            budget = int(len(text) * error_rate) if len(text) >= min_chars else 0
             for place, piece in pieces(text, budget):
                 hits.setdefault(piece, []).append((len(self.items), place))
             self.items.append((item_id, text, budget, place_bits(text), place_bits(text[::-1])))
@@ -95,6 +102,8 @@ class Matcher:
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the items that occur in ``text``, each at its closest place."""
+        for item_id in self.short.get(text, ()):
+            yield item_id, 0, 0, len(text)
         if not self.items:
             return
         best: dict[int, tuple[int, int, int]] = {}
@@ -110,8 +119,6 @@ class Matcher:
                 if start >= 0 and text.startswith(pattern, start):
                     best[item] = (0, start, start + m)
                     continue
-                if not budget:
-                    continue
                 low = max(0, start - budget)
                 distance, end = myers(bits, m, text[low : start + m + budget])
                 if distance > budget:
@@ -124,9 +131,9 @@ class Matcher:
             yield self.items[item][0], distance, start, end
 
 
-def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, error_rate: float, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items, normalised, in lists of at most ``block_bytes`` (or one item)."""
-    block, size = [], 0
+    block, size, short = [], 0, 0
     for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         text = normalise((row["text"] or "").encode("utf-8"))
         if block and size + len(text) > block_bytes:
@@ -134,11 +141,14 @@ def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
             block, size = [], 0
         block.append((row["item_id"], text))
         size += len(text)
+        short += 0 < len(text) and not int(len(text) * error_rate)
+    if short:
+        warnings.warn(f"{short} benchmark items are too short for an edit and match only texts equal to them", stacklevel=2)
     if block:
         yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance, match_start, match_end.
 
     ``docs``: doc_id, text. ``items``: item_id, text. Places count characters of the normalised text.
@@ -146,13 +156,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ER
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
-    for block in item_blocks(items, block_bytes):
+    for block in item_blocks(items, error_rate, block_bytes):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
             import pyarrow as pa
 
-            matcher = Matcher(sent.value, error_rate, min_chars)
+            matcher = Matcher(sent.value, error_rate)
             for batch in batches:
                 rows = [
                     (doc, *match) for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))) for match in matcher.matches(normalise(text))
@@ -166,15 +176,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ER
     return spark.createDataFrame([], SCHEMA) if found is None else found
 
 
-def without_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    for block in item_blocks(items, block_bytes):
+    for block in item_blocks(items, error_rate, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
             import pyarrow as pa
 
-            matcher = Matcher(sent.value, error_rate, min_chars)
+            matcher = Matcher(sent.value, error_rate)
             for batch in batches:
                 clean = [next(matcher.matches(normalise(text)), None) is None for text in as_bytes(batch.column("text"))]
                 yield batch.select(["record"]).filter(pa.array(clean, pa.bool_()))
