@@ -18,9 +18,7 @@ nothing. Records are kept as one struct, so no column name can clash.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -45,6 +43,22 @@ def fisher_yates(seed: int):
     return shuffle
 
 
+def bucket_offsets(scratch: Scratch, counts: DataFrame, group: int = 4096) -> tuple[DataFrame, int]:
+    """bucket and before (records of all buckets before it), and the number of records; ``counts``: bucket, count.
+
+    Running sums within groups of buckets, then over the groups, so that no
+    task and no driver holds a row for every bucket.
+    """
+    counts = scratch.write(counts.withColumn("part", F.expr(f"bucket div {group}L")), "counts")
+    sums = scratch.write(counts.groupBy("part").agg(F.sum("count").alias("n")), "sums")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each ``group`` buckets.
+    starts = sums.select("part", F.coalesce(F.sum("n").over(earlier().orderBy("part")), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("count").over(earlier("part").orderBy("bucket")), F.lit(0))
+    offsets = counts.withColumn("within", within).join(starts, "part").select("bucket", (F.col("start") + F.col("within")).alias("before"))
+    return scratch.write(offsets, "offsets"), sums.agg(F.sum("n")).first()[0] or 0
+
+
 def shuffle_into_shards(records: DataFrame, path: str, shards: int = 24, seed: int = 20260904, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write all records, shuffled, under ``path`` in folders shard=0 to shard=``shards``-1; return what was written.
 
@@ -60,12 +74,9 @@ def shuffle_into_shards(records: DataFrame, path: str, shards: int = 24, seed: i
         schema = StructType([*packed.schema.fields, StructField("place", LongType())])
         shuffled = packed.groupBy("bucket").applyInArrow(fisher_yates(seed), schema)
         staged = scratch.write(shuffled.drop("spread"), "staged")
-        # One row for each bucket: total bytes / bucket_bytes.
-        counts = staged.groupBy("bucket").count().orderBy("bucket").collect()
-        n = sum(r["count"] for r in counts)
-        starts = [0, *accumulate(r["count"] for r in counts)]
-        offsets = spark.createDataFrame([(r["bucket"], s) for r, s in zip(counts, starts)], "bucket long, before long")
-        placed = staged.join(F.broadcast(offsets), "bucket").withColumn("at", F.col("before") + F.col("place"))
+        offsets, n = bucket_offsets(scratch, staged.groupBy("bucket").count())
+        # A written table of known size: sent whole while it is small, shuffled beyond that.
+        placed = staged.join(offsets, "bucket").withColumn("at", F.col("before") + F.col("place"))
         shard = F.expr(f"(({shards}L * (at + 1)) - 1) div {max(n, 1)}L")
         placed = placed.withColumn("shard", shard.cast("int"))
         placed = placed.withColumn("slot", F.col("at") - F.expr(f"(shard * {n}L) div {shards}L"))
