@@ -30,7 +30,9 @@ Shingles are 64-bit hashes of their words' 64-bit hashes.
 Defined results: null text and text without words have an empty set, linked
 with nothing; a text of fewer than 5 words has its whole sequence as its one
 shingle; a null doc_id takes part but never names a component unless all of
-it is null; repeated rows are linked; an empty table gives an empty result.
+it is null; repeated rows are linked; sets of equal size are ordered by node;
+a very long text is one set, held by one task; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ SHINGLE = 5
 PERCENT = 75
 BITS = 2048
 BLOCK = 1024
+#: Rows of an anchor's tiles that go to one task at most, but for a larger tile.
+SHARE = 2048
 #: A block of a component holds about this many shingles at most.
 LOAD = 1 << 20
 #: Nodes and shingles that are intersected at a time.
@@ -179,7 +183,7 @@ def stars(tiles: DataFrame, chain: bool = False) -> DataFrame:
 def crossing(tiles: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in a tile whose bitmaps allow a link.
 
-    ``tiles``: token, anchor (its least node), low, high (blocks), block,
+    ``tiles``: token, anchor (its least node), share, low, high (blocks), block,
     node, n, component, bitmap. Tiles of one group of documents mostly have
     the same least node, so they come one after another and a pair that was
     found in one isn't given again for the next.
@@ -211,16 +215,16 @@ def crossing(tiles: DataFrame) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "low", "high", "token", "block", "node", "n", "component", "bitmap")]
-            for anchor, low, high, token, block, node, n, component, bits in zip(*columns):
-                if (anchor, low, high, token) != tile:
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "share", "low", "high", "token", "block", "node", "n", "component", "bitmap")]
+            for anchor, share, low, high, token, block, node, n, component, bits in zip(*columns):
+                if (anchor, share, low, high, token) != tile:
                     if len(rows) > 1:
                         found |= compare(rows) - seen
-                    if tile and tile[:3] != (anchor, low, high):
+                    if tile and tile[:4] != (anchor, share, low, high):
                         seen.clear()
                     else:
                         seen |= found
-                    tile, rows = (anchor, low, high, token), []
+                    tile, rows = (anchor, share, low, high, token), []
                 rows.append((block, node, n, component, bits, low == high))
             yield pairs(found)
         if len(rows) > 1:
@@ -229,19 +233,23 @@ def crossing(tiles: DataFrame) -> DataFrame:
     def pairs(found):
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    ordered = tiles.repartition("anchor", "low", "high").sortWithinPartitions("anchor", "low", "high", "token", "n", "node")
+    ordered = tiles.repartition("anchor", "share", "low", "high").sortWithinPartitions("anchor", "share", "low", "high", "token", "n", "node")
     return ordered.mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"])
 
 
 def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by exact intersection."""
+    """The pairs that link: those whose bitmaps allow it, by exact intersection. ``sets``: node, shingles, bitmap."""
 
     def run(batches):
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            sides = [[np.frombuffer(s, dtype=np.uint64) for s in batch.column(c).to_pylist()] for c in ("x", "y")]
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(a), BITS // 64) for c in ("bits_x", "bits_y")]
+            n = [np.array([len(s) for s in side], dtype=np.int64) for side in sides]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for i in np.flatnonzero(linked((n[0] + n[1] - differ) // 2, *n)):
+                u, v = sides[0][i], sides[1][i]
                 if len(u) > len(v):
                     u, v = v, u
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
@@ -249,9 +257,10 @@ def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return candidates.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.col("bitmap").alias("bits_x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.col("bitmap").alias("bits_y"))
+    pairs = candidates.join(right, "b").join(left, "a").select("a", "b", "x", "y", "bits_x", "bits_y")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -371,7 +380,10 @@ def unsettled(scratch: Scratch, tiles: DataFrame, label: DataFrame, name: str) -
     placed = scratch.write(placed, f"{name}_placed")
     ends = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("anchor"), F.count("*").alias("m"))
     several = scratch.write(ends.where("low != high").select("token", "anchor", "m"), f"{name}_several")
-    return placed.join(several, "token"), several
+    # Tiles of one anchor are dealt together as long as they are few rows; more go to several tasks, each tile whole.
+    shares = several.groupBy("anchor").agg(F.ceil(F.sum("m") / SHARE).cast("int").alias("shares"))
+    dealt = several.join(shares, "anchor").withColumn("share", F.expr("cast(pmod(xxhash64(token), shares) as int)")).drop("shares")
+    return placed.join(dealt, "token"), several
 
 
 def jaccard_components(scratch: Scratch, docs: DataFrame, count_links: bool = False) -> DataFrame:
@@ -386,7 +398,7 @@ def jaccard_components(scratch: Scratch, docs: DataFrame, count_links: bool = Fa
     # Prefixes of equal sets are alike but for shingles that only equal rows of one run share; any will do.
     sets = rows.where(F.col("prefix").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.max_by("prefix", F.size("prefix")).alias("prefix"), F.first("shingles").alias("shingles"), F.first("bitmap").alias("bitmap"))
     sets = scratch.write(sets, "sets")
-    arrays = sets.select("node", "shingles")
+    arrays = sets.select("node", "shingles", "bitmap")
     tiles = sets.select(F.explode("prefix").alias("token"), "node", "n")
     tried = scratch.write(stars(tiles.withColumn("component", F.col("node"))), "stars")
     label = components(scratch, scratch.write(verified(tried, arrays), "links"), "first")
@@ -398,7 +410,7 @@ def jaccard_components(scratch: Scratch, docs: DataFrame, count_links: bool = Fa
     placed, _ = unsettled(scratch, tiles, label, "third")
     dealt = placed.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "anchor", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "component")
+    dealt = dealt.select("token", "anchor", "share", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "component")
     more = crossing(dealt.join(sets.select("node", "bitmap"), "node")).join(tried, ["a", "b"], "left_anti")
     label = merged(scratch, label, scratch.write(verified(scratch.write(more, "crossing"), arrays), "links_across"), "third")
     # The least doc_id of each component, for classes that aren't a single row.
