@@ -1,21 +1,25 @@
 """Word lists and orders of the HTTP route rules. Results depend on them as they are."""
 
-ASYNC_NOUNS = (
-    "allocation allocations backfill backfills backup backups job jobs operation operations task tasks run runs "
-    "execution executions workflow workflows build builds deployment deployments pipeline pipelines dagrun dagruns "
-    "export exports import imports index indexes indexing indices migration migrations provision provisioning "
-    "provisions query queries render renders report reports restore restores scan scans snapshot snapshots sync syncs "
-    "training trainings transcode transcodes transcoding"
-).split()
-CANCELABLE = (
-    "allocation allocations backfill backfills backup backups build builds deployment deployments execution executions "
-    "job jobs operation operations provision provisioning provisions restore restores run runs scan scans snapshot "
-    "snapshots sync syncs task tasks training trainings transcode transcodes transcoding"
-).split()
+ASYNC_NOUNS = [
+    "allocation", "allocations", "backfill", "backfills", "backup", "backups", "job", "jobs", "operation",
+    "operations", "task", "tasks", "run", "runs", "execution", "executions", "workflow", "workflows", "build",
+    "builds", "deployment", "deployments", "pipeline", "pipelines", "dagrun", "dagruns", "export", "exports",
+    "import", "imports", "index", "indexes", "indexing", "indices", "migration", "migrations", "provision",
+    "provisioning", "provisions", "query", "queries", "render", "renders", "report", "reports", "restore", "restores",
+    "scan", "scans", "snapshot", "snapshots", "sync", "syncs", "training", "trainings", "transcode", "transcodes",
+    "transcoding",
+]
+CANCELABLE = [
+    "allocation", "allocations", "backfill", "backfills", "backup", "backups", "build", "builds", "deployment",
+    "deployments", "execution", "executions", "job", "jobs", "operation", "operations", "provision", "provisioning",
+    "provisions", "restore", "restores", "run", "runs", "scan", "scans", "snapshot", "snapshots", "sync", "syncs",
+    "task", "tasks", "training", "trainings", "transcode", "transcodes", "transcoding",
+]
 CANCEL_WORDS = ["cancel", "cancellation", "abort", "stop", "terminate", "kill"]
 STATUS_WORDS = ["status", "state", "progress", "result", "results"]
 QUERY_ACTIONS = ["count", "filter", "list", "paginate", "search", "history"]
 CANCELLATION, ASYNC = "http-cancellation", "http-async-operation"
+CONCEPTS = [CANCELLATION, ASYNC]
 STRICT_PATTERNS = [
     "post-subresource-cancel",
     "put-action-cancel",
@@ -28,6 +32,7 @@ STRICT_PATTERNS = [
     "mutation-202-accepted",
 ]
 FRAMEWORK_MARKERS = ["fastapi", "django", "flask", "express", "nestjs", "spring", "rails", "gin", "chi", "actix", "axum", "laravel", "phoenix"]
+NO_STANDARD = "No seeded standards comparison exists for this concept."
 COVERAGE_ORDER = ["unknown", "none", "adjacent", "partial", "full"]
 
 #: Discovery. Substrings of lower-cased names, descriptions and topics.
@@ -85,6 +90,16 @@ SAMPLE_SIZES = {
         "get-cancel-link": 10, "patch-state-cancelled": 5, "delete-operation-resource": 10,
     },
 }
+#: Which pattern a route counts for if it fits several, first ones first.
+PRIMARY_ORDER = [
+    "post-subresource-cancel",
+    "post-action-cancel",
+    "delete-action-cancel",
+    "put-action-cancel",
+    "get-cancel-link",
+    "patch-state-cancelled",
+    "delete-operation-resource",
+]
 ROUTE_SAMPLE_SIZES = {
     "full": {
         "delete-operation-resource:any": 100, "post-subresource-cancel:linked": 30, "post-subresource-cancel:unlinked": 70,
@@ -124,3 +139,18 @@ AGAINST_ALWAYS = ["Stage-1 extraction may undercount dynamic framework routes.",
 AGAINST_PARTIAL = "An implementation guide or profile may be more appropriate than a new RFC."
 AGAINST_VENDORS = "Vendor concentration may inflate apparent prevalence."
 AGAINST_CANCELLATION = "Cancellation semantics may depend on domain-specific safety guarantees."
+
+#: Claims of the linkage section with their denominators, and parts of its envelope.
+RATIO_CLAIMS = [
+    ("Same-resource linkage within strict cancellation", "linked", "strict cancellation families", "Operation-cancellation precision check"),
+    ("Operation-like target within strict cancellation", "target", "strict cancellation families", "Broader operation-cancellation recall check"),
+    ("Same-resource cancellation among async families", "linked", "async-operation families", "Conservative async-affordance claim"),
+    ("Operation-like cancellation among async families", "target", "async-operation families", "Broad async-affordance claim after review"),
+    ("Domain-transition-risk review queue", "risk", "strict cancellation families", "Precision risk requiring manual labels"),
+]
+ENVELOPE_PARTS = [
+    ("Strict explicit-cancel routes with same-resource linkage", "strict", "Conservative lower structural subset"),
+    ("`delete-operation-resource` routes with same-resource linkage", "deletes", "Promotion-audit swing factor"),
+    ("Overlap between the two linked sets", "overlap", "Prevents double counting"),
+    ("Union of strict-linked and delete-linked sets", "either", "Pre-label upper structural envelope"),
+]

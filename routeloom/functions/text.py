@@ -90,3 +90,34 @@ def response_codes(text: Column) -> Column:
     listed = F.filter(bare, lambda c: c.isin("200", "201", "202", "204", "400", "404", "409", "422", "429", "500", "503"))
     found = F.concat(F.when(accepted, F.array(F.lit("202"))).otherwise(F.expr("cast(array() as array<string>)")), named, listed)
     return F.array_sort(F.array_distinct(F.transform(found, lambda c: c.cast("int"))))
+
+
+def float_text(x: Column) -> Column:
+    return F.format_string("%.6f", x)
+
+
+def ratio_text(n: Column, d: Column) -> Column:
+    """Six decimals; empty without a denominator."""
+    return F.when(d > 0, float_text(n / d)).otherwise(F.lit(""))
+
+
+def safe_int(x: Column) -> Column:
+    return F.coalesce(F.trim(x).try_cast("int"), F.lit(1_000_000))
+
+
+def safe_float(x: Column) -> Column:
+    return F.coalesce(F.trim(x).try_cast("double"), F.lit(0.0))
+
+
+def clean_codes(codes: Column) -> Column:
+    """Sorted distinct integers of an array of texts; what is none is left out."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(codes, lambda c: F.trim(c).try_cast("int")))))
+
+
+def source_kind(extractor: Column) -> Column:
+    name = F.lower(F.coalesce(extractor, F.lit("")))
+    return F.when(name.startswith("openapi"), "openapi").when(name == "source-routes", "source").otherwise(name)
+
+
+def utc_now() -> Column:
+    return F.expr("date_format(to_utc_timestamp(current_timestamp(), current_timezone()), \"yyyy-MM-dd'T'HH:mm:ss'+00:00'\")")

@@ -56,8 +56,8 @@ def template(every: Column) -> Column:
     return F.when(contains_any(every, R.TEMPLATE_MARKERS), F.lit("metadata-indicator")).when(contains_any(every, R.SDK_MARKERS), F.lit("generated-sdk-suspect"))
 
 
-def seeds(items: DataFrame) -> DataFrame:
-    """Included items with a repository address, as seed rows."""
+def seeds(items: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Included items with a repository address, as seed rows; ``carry``: columns of the items that come along."""
     owner, name = (F.regexp_extract(F.trim("html_url"), REPOSITORY_URL, i) for i in (1, 2))
     rows = items.where(included() & F.col("html_url").rlike(REPOSITORY_URL)).withColumn("every_", haystack())
     every = F.col("every_")
@@ -78,4 +78,5 @@ def seeds(items: DataFrame) -> DataFrame:
         F.col("size").alias("size_kb"),
         F.slice("topics", 1, 20).alias("discovery_topics"),
         F.col("description").alias("discovery_description"),
+        *(carry or []),
     )

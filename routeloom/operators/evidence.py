@@ -49,7 +49,9 @@ def deduplicated(evidence: DataFrame) -> DataFrame:
     A fold, not an argmax: codes are united at each step and the union counts
     in the next comparison; a later row wins only if it is strictly better.
     """
-    row = F.struct("ord", "codes", "confidence", "symbol", "line", "file", "path")
+    more = [c for c in ("summary", "description") if c in evidence.columns]
+    kept = ["confidence", "symbol", "line", "file", "path", *more]
+    row = F.struct("ord", "codes", *kept)
     rows = evidence.groupBy(*KEY).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     def quality(x):
@@ -64,7 +66,7 @@ def deduplicated(evidence: DataFrame) -> DataFrame:
     def step(a, x):
         codes = F.array_sort(F.array_union(a["codes"], x["codes"]))
         best = F.when(quality(x) > quality(a), x).otherwise(a)
-        return F.struct(best["ord"].alias("ord"), codes.alias("codes"), *[best[c].alias(c) for c in ("confidence", "symbol", "line", "file", "path")])
+        return F.struct(best["ord"].alias("ord"), codes.alias("codes"), *[best[c].alias(c) for c in kept])
 
     folded = F.aggregate(F.slice("rows", 2, F.size("rows")), F.get("rows", F.lit(0)), step)
     out = rows.select(*KEY, F.size("rows").cast("long").alias("n_rows"), folded.alias("w")).select(*KEY, "n_rows", "w.*")

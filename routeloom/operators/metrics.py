@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -13,15 +13,16 @@ def pattern_metrics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("concept", "pattern").agg(F.countDistinct("family_id").alias("families"), F.countDistinct("repository").alias("repositories"), F.count("*").alias("evidence"))
 
 
-def concept_metrics(rows: DataFrame) -> DataFrame:
-    """Families, repositories, evidence, entropy over pattern families, dominant and long-tail ratios, capped counts."""
+def concept_metrics(rows: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Families, repositories, evidence, entropy over pattern families (rounded to ``digits``), dominant and long-tail ratios, capped counts."""
+    entropy = T.entropy(F.array_sort("n"), F.col("patterns"))
     by_pattern = pattern_metrics(rows).groupBy("concept").agg(F.collect_list(F.col("families").cast("double")).alias("n"), F.count("*").alias("patterns"), F.max("families").alias("most"), F.sum("families").alias("memberships"), F.count_if(F.col("families") == 1).alias("single"))
     by_repo = rows.groupBy("concept", "repository").agg(F.count("*").alias("n")).groupBy("concept").agg(F.sum(F.least("n", F.lit(50))).alias("capped"), F.max("n").alias("top"), F.sum("n").alias("evidence"), F.count("*").alias("repositories"))
     total = rows.groupBy("concept").agg(F.countDistinct("family_id").alias("families"))
     out = by_pattern.join(by_repo, "concept").join(total, "concept")
     return out.select(
         "concept", "families", "repositories", "patterns", "evidence", "capped",
-        F.round(T.entropy(F.array_sort("n"), F.col("patterns")), 4).alias("entropy"),
+        (entropy if digits is None else F.round(entropy, digits)).alias("entropy"),
         F.round(F.col("most") / F.col("memberships"), 4).alias("dominant_ratio"),
         F.round(F.col("single") / F.col("patterns"), 4).alias("long_tail_ratio"),
         F.round(F.col("top") / F.col("evidence"), 4).alias("top_repository_share"),
@@ -30,7 +31,7 @@ def concept_metrics(rows: DataFrame) -> DataFrame:
 
 def first_examples(rows: DataFrame, n: int = 5) -> DataFrame:
     order = Window.partitionBy("concept", "pattern").orderBy("ord")
-    return rows.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= n).select("concept", "pattern", "nth", "repository", "path")
+    return rows.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= n).select("concept", "pattern", "nth", "repository", "file", "line", "method", "path", "normalized_path", "confidence", F.col("source_kind").alias("extractor"))
 
 
 def top_repositories(rows: DataFrame, n: int = 10) -> DataFrame:
@@ -41,8 +42,23 @@ def top_repositories(rows: DataFrame, n: int = 10) -> DataFrame:
     return out.where(F.col("nth") <= n).select("concept", "nth", "repository", "evidence", "share")
 
 
-def resource_paths(rows: DataFrame) -> DataFrame:
-    """repository and target_path of the resources that each async row stands for: its path, the one above a status, the one that a POST makes."""
+def strict_metrics(rows: DataFrame) -> DataFrame:
+    """Metrics of each concept over its strict patterns, entropy unrounded; concepts of the rules without such rows have zeros."""
+    own = concept_metrics(rows.where(F.col("pattern").isin(*R.STRICT_PATTERNS)), None)
+    known = rows.sparkSession.createDataFrame([(c,) for c in R.CONCEPTS], "concept string")
+    return known.join(own.select("concept", "families", "repositories", "patterns", "evidence", "entropy"), "concept", "full").na.fill(0)
+
+
+def distributions(rows: DataFrame, repos: DataFrame, fields: list[str]) -> DataFrame:
+    """concept, field, value, repositories: how the concept's repositories spread over each field; null and empty are unknown."""
+    own = rows.select("concept", F.col("repository").alias("repo_id")).distinct().join(repos.select("repo_id", *fields), "repo_id")
+    value = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in fields]))
+    return own.select("concept", each.alias("x")).groupBy("concept", "x.field", "x.value").agg(F.count("*").alias("repositories"))
+
+
+def resource_rows(rows: DataFrame) -> DataFrame:
+    """Async rows with each target_path that they stand for: their path, the one above a status, the one that a POST makes."""
     a = rows.where(F.col("concept") == R.ASYNC)
     own = T.canonical_path(F.col("normalized_path"))
     parts = T.segments(own)
@@ -50,7 +66,11 @@ def resource_paths(rows: DataFrame) -> DataFrame:
     noun = T.has_any(T.tokens(own), R.ASYNC_NOUNS)
     under = F.when((F.col("method") == "POST") & noun & ~own.endswith("/{var}"), F.concat(own, F.lit("/{var}")))
     paths = F.array_distinct(F.array_compact(F.array(own, F.when((F.size(parts) > 0) & status, T.joined(F.slice(parts, 1, F.size(parts) - 1))), under)))
-    return a.select("repository", F.explode(paths).alias("target_path"))
+    return a.withColumn("target_path", F.explode(paths))
+
+
+def resource_paths(rows: DataFrame) -> DataFrame:
+    return resource_rows(rows).select("repository", "target_path")
 
 
 def adjacent(linked: DataFrame, rows: DataFrame) -> DataFrame:
@@ -71,12 +91,17 @@ def linkage(rows: DataFrame) -> DataFrame:
 
 
 def linkage_totals(linked: DataFrame) -> DataFrame:
-    """Evidence, repositories and families of each pattern and of all, by kind of link."""
-    counts = []
-    for name, test in (("all", F.lit(True)), ("linked", F.col("linked")), ("target", F.col("operation_target")), ("risk", F.col("risk"))):
-        counts += [F.count_if(test).alias(f"{name}_evidence")]
-        counts += [F.countDistinct(F.when(test, F.col(c))).alias(f"{name}_{p}") for c, p in (("repository", "repositories"), ("family_id", "families"))]
-    return linked.rollup("pattern").agg(*counts).withColumn("pattern", F.coalesce("pattern", F.lit("(all)")))
+    """Evidence, repositories and families of each pattern, of strict patterns and of all, by kind of link."""
+    tests = {"all": F.lit(True), "linked": F.col("linked"), "target": F.col("operation_target"), "risk": F.col("risk")}
+    # Rows of one pattern, repository and family become one; what is distinct is counted over those.
+    few = linked.groupBy("pattern", "repository", "family_id", "strict").agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+    scopes = F.array_compact(F.array(F.col("pattern"), F.lit("(all)"), F.when(F.col("strict"), F.lit("(strict)"))))
+    few = few.withColumn("pattern", F.explode(scopes))
+    out = few.groupBy("pattern").agg(*[F.sum(k).alias(f"{k}_evidence") for k in tests])
+    for key, name in (("repository", "repositories"), ("family_id", "families")):
+        each = few.groupBy("pattern", key).agg(*[F.max(F.col(k) > 0).alias(k) for k in tests])
+        out = out.join(each.groupBy("pattern").agg(*[F.count_if(k).alias(f"{k}_{name}") for k in tests]), "pattern")
+    return out
 
 
 def envelope(linked: DataFrame) -> DataFrame:
@@ -94,6 +119,42 @@ def compare_standards(concepts: DataFrame, standards: DataFrame) -> DataFrame:
     return best.withColumn("coverage", F.coalesce("coverage", F.lit("unknown")))
 
 
+def standards_rows(concepts: DataFrame, standards: DataFrame) -> DataFrame:
+    """A row for each concept and standard that names it (id, ord, title, url, coverage, gap, conflict, evidence, confidence), or one default row.
+
+    ``standards``: id, ord, title, url, concepts, confidence, default_coverage,
+    gap, concept_coverage (map to coverage, gap, conflict, evidence, confidence).
+    """
+    some = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+    own = standards.withColumn("concept", F.explode("concepts")).withColumn("e", F.element_at("concept_coverage", F.col("concept")))
+    none = F.expr("cast(array() as array<string>)")
+    own = own.select(
+        "concept", "id", "ord", "title", "url",
+        F.coalesce(some(F.col("e.coverage"), F.col("default_coverage")), F.lit("unknown")).alias("coverage"),
+        F.coalesce(some(F.col("e.gap"), F.col("gap")), F.lit("")).alias("gap"),
+        F.coalesce(some(F.col("e.conflict")), F.lit("none")).alias("conflict"),
+        F.coalesce("e.evidence", none).alias("evidence"),
+        F.coalesce("e.confidence", "confidence", F.lit(0.7)).alias("confidence"),
+    )
+    rows = concepts.select("concept").join(own, "concept", "left")
+    missing = F.col("id").isNull()
+    return rows.withColumns({
+        "coverage": F.when(missing, "unknown").otherwise(F.col("coverage")),
+        "gap": F.when(missing, R.NO_STANDARD).otherwise(F.col("gap")),
+        "conflict": F.when(missing, "unknown").otherwise(F.col("conflict")),
+        "evidence": F.coalesce("evidence", none),
+        "confidence": F.coalesce("confidence", F.lit(0.0)),
+    })
+
+
+def both_scores(concepts: DataFrame, strict: DataFrame, compared: DataFrame, total: Column) -> DataFrame:
+    """``scores`` of each concept, and its score over strict patterns alone with their counts; ``total`` is a column of both."""
+    own = scores(concepts, compared, total)
+    alone = scores(strict, compared, total).select("concept", F.col("score").alias("strict_score"))
+    counts = strict.select("concept", *[F.col(c).alias(f"strict_{c}") for c in ("families", "repositories", "evidence", "patterns")])
+    return own.join(alone, "concept", "left").join(counts, "concept", "left")
+
+
 def scores(concepts: DataFrame, compared: DataFrame, total_families: int | float | F.Column) -> DataFrame:
     """Opportunity score: prevalence, independence, divergence, interoperability, gap, correctness, tractability."""
     x = concepts.join(compared, "concept", "left")

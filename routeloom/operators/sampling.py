@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 
 
-def primary_pattern(rows: DataFrame, order: list[str], route: list[str]) -> DataFrame:
-    """All rows of the first pattern, in ``order``, of each route."""
+ROUTE = ["repository", "method", "normalized_path"]
+
+
+def primary_pattern(rows: DataFrame, order: list[str] = R.PRIMARY_ORDER, route: list[str] = ROUTE) -> DataFrame:
+    """All rows of the first pattern, in ``order``, of each route; rows of other patterns go."""
     rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("pattern"))
-    rank = F.when(rank > 0, rank).otherwise(F.lit(len(order) + 1))
     best = F.min("rank").over(Window.partitionBy(*route))
-    return rows.withColumn("rank", rank).withColumn("best", best).where("rank = best").drop("rank", "best")
+    return rows.where(F.col("pattern").isin(*order)).withColumn("rank", rank).withColumn("best", best).where("rank = best").drop("rank", "best")
 
 
 def cells(linked: DataFrame) -> DataFrame:
@@ -69,16 +71,18 @@ def quotas(total: int, buckets: list[str]) -> dict[str, int]:
     return {b: base + (i < extra) for i, b in enumerate(buckets)}
 
 
-QUALITY = ["repository", "method", "normalized_path", "path", "source_kind", "line", "file"]
+def quality() -> list:
+    """The order of a cell's rows; rows without a line come last."""
+    return ["repository", "method", "normalized_path", "path", "source_kind", F.coalesce("line", F.lit(1_000_000)), "file"]
 
 
 def representatives(linked: DataFrame, seed: str) -> DataFrame:
     """One row of each pattern x family cell, drawn by Python's generator seeded with the cell's name.
 
-    Rows are numbered in the order of QUALITY; ``linked`` may carry other columns.
+    Rows are numbered in the order of ``quality``; ``linked`` may carry other columns.
     """
     cell = Window.partitionBy("pattern", "family_id")
-    numbered = linked.withColumn("at_", F.row_number().over(cell.orderBy(*QUALITY)) - 1).withColumn("cell_routes", F.count("*").over(cell))
+    numbered = linked.withColumn("at_", F.row_number().over(cell.orderBy(*quality())) - 1).withColumn("cell_routes", F.count("*").over(cell))
 
     def pick(pattern: str, family: str, n: int) -> int:
         return random.Random(f"{seed}:cell-route:{pattern}:{family}").randrange(n)
@@ -186,7 +190,7 @@ def select_cells(queue: DataFrame, sizes: dict[str, int]) -> DataFrame:
 def expand_cells(selected: DataFrame, linked: DataFrame) -> DataFrame:
     """Every route of the selected cells, numbered within its cell."""
     rows = selected.select("sample_id", "pattern", "family_id", "bucket").join(linked.drop("bucket"), ["pattern", "family_id"])
-    nth = F.row_number().over(Window.partitionBy("sample_id").orderBy(*QUALITY))
+    nth = F.row_number().over(Window.partitionBy("sample_id").orderBy(*quality()))
     return rows.withColumn("route_nth", nth).withColumn("route_sample_id", F.concat("sample_id", F.format_string("-route-%03d", nth)))
 
 
@@ -198,7 +202,7 @@ def route_stratum() -> Column:
 def route_sample(linked: DataFrame, seed: str, profile: str = "full") -> DataFrame:
     """Routes drawn by stratum with fraction and weight N/n; strata without a size are taken whole."""
     sizes = profile_of(R.ROUTE_SAMPLE_SIZES, profile)
-    frame = shuffled(linked, route_stratum(), ["repository", "pattern", "normalized_path", "file", "line", "method", "source_kind"], f"{seed}:route-record")
+    frame = shuffled(linked, route_stratum(), ["repository", "pattern", "normalized_path", "file", F.coalesce("line", F.lit(1_000_000)), "method", "source_kind"], f"{seed}:route-record")
     limits = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(n).cast("long"))])
     frame = frame.where(F.col("stratum").isin(*sizes)).withColumn("taken", F.least("stratum_size", F.coalesce(F.element_at(limits, F.col("stratum")), F.col("stratum_size"))))
     frame = frame.where("position < taken").withColumn("fraction", F.col("taken") / F.col("stratum_size"))

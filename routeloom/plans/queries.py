@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import sheet_columns as C
 from ..functions import text as T
+from ..operators import collect as K
 from ..operators import discovery as D
 from ..operators import evidence as E
 from ..operators import incremental as I
 from ..operators import metrics as M
 from ..operators import sampling as S
+from ..operators import sheets as H
 from ..sources import adapter as A
 from ..sources.extract import extract, links
 from ..streaming.dedupe import once
@@ -21,8 +24,8 @@ from . import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-TERMS, LANGUAGES = ["http api", "job queue", "workflow"], ["go", "python", "java", "rust"]
-ORDER = ["post-subresource-cancel", "put-action-cancel", "get-cancel-link", "post-action-cancel", "delete-action-cancel", "delete-operation-resource", "patch-state-cancelled", "other-cancellation-route"]
+SIZES = R.SAMPLE_SIZES["full"]
+TARGET = 400
 
 
 def query(f: Query) -> Query:
@@ -34,17 +37,34 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.deduplicated(E.classified(A.routes(spark, sf_dir)))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows in the shared checkpoint folder, so that a plan that uses them several times makes them once."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(root or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
+def evidence_and_families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ev = settled(evidence(spark, sf_dir))
+    return ev, E.families(A.repositories(spark, sf_dir), ev)
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated evidence of independent families."""
-    ev = evidence(spark, sf_dir)
-    return E.independent(ev, E.families(A.repositories(spark, sf_dir), ev))
+    return E.independent(*evidence_and_families(spark, sf_dir))
+
 
+def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancellation routes of independent families with their links, each with its primary pattern only."""
+    return S.primary_pattern(M.linkage(rows(spark, sf_dir)))
 
-def standards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [("s1", 1, R.ASYNC, "partial", "none"), ("s1", 1, R.CANCELLATION, "adjacent", "none"), ("s2", 2, R.ASYNC, "none", "differs"), ("s3", 3, R.CANCELLATION, "adjacent", None)],
-        "id string, ord int, concept string, coverage string, conflict string",
-    )
+
+def standards(spark: SparkSession, concepts: DataFrame) -> DataFrame:
+    return M.standards_rows(concepts, A.standards(spark)).where("id is not null")
 
 
 @query
@@ -157,46 +177,56 @@ def linkage_envelope(spark, sf_dir):
 
 @query
 def strict_metrics(spark, sf_dir):
-    return M.concept_metrics(rows(spark, sf_dir).where(F.col("pattern").isin(*R.STRICT_PATTERNS))).select("concept", "families", "repositories", "patterns", "evidence")
+    return M.strict_metrics(rows(spark, sf_dir))
+
+
+@query
+def standards_rows(spark, sf_dir):
+    concepts = spark.createDataFrame([(c,) for c in [*R.CONCEPTS, "http-other"]], "concept string")
+    out = M.standards_rows(concepts, A.standards(spark))
+    return out.select("concept", F.coalesce("id", F.lit("")).alias("id"), "coverage", "gap", "conflict", F.array_join("evidence", ";").alias("evidence"), "confidence")
 
 
 @query
 def standards_comparison(spark, sf_dir):
-    return M.compare_standards(M.concept_metrics(rows(spark, sf_dir)), standards(spark))
+    concepts = M.concept_metrics(rows(spark, sf_dir))
+    return M.compare_standards(concepts, standards(spark, concepts))
 
 
-def scored(spark: SparkSession, sf_dir: str, concepts: DataFrame) -> DataFrame:
-    total = E.families(A.repositories(spark, sf_dir), evidence(spark, sf_dir)).where("not excluded").agg(F.countDistinct("family_id").cast("double").alias("total_families"))
-    joined = concepts.crossJoin(F.broadcast(total))  # one row
-    return M.scores(joined, M.compare_standards(concepts, standards(spark)), F.col("total_families"))
+def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, concepts, their comparison with standards, and their scores."""
+    ev, families = evidence_and_families(spark, sf_dir)
+    own = E.independent(ev, families)
+    total = families.where("not excluded").agg(F.countDistinct("family_id").cast("double").alias("total_families"))
+    concepts = settled(M.concept_metrics(own))
+    compared = M.compare_standards(concepts, standards(spark, concepts))
+    with_total = lambda df: df.crossJoin(F.broadcast(total))  # noqa: E731  one row
+    return own, concepts, compared, M.both_scores(with_total(concepts), with_total(M.strict_metrics(own)), compared, F.col("total_families"))
 
 
 @query
 def opportunity_scores(spark, sf_dir):
-    return scored(spark, sf_dir, M.concept_metrics(rows(spark, sf_dir)))
+    return scored(spark, sf_dir)[3]
 
 
 @query
 def primary_pattern(spark, sf_dir):
-    own = M.linkage(rows(spark, sf_dir))
-    return S.primary_pattern(own, ORDER, ["repository", "method", "normalized_path"]).groupBy("pattern").agg(F.count("*").alias("rows"), F.countDistinct("family_id").alias("families"))
+    return frame(spark, sf_dir).groupBy("pattern").agg(F.count("*").alias("rows"), F.countDistinct("family_id").alias("families"))
 
 
 @query
 def family_pattern_cells(spark, sf_dir):
-    return S.cells(M.linkage(rows(spark, sf_dir))).select("pattern", "family_id", "size", "bucket")
+    return S.cells(frame(spark, sf_dir)).select("pattern", "family_id", "size", "bucket")
 
 
 @query
 def family_inclusion_probability(spark, sf_dir):
-    cells = S.cells(M.linkage(rows(spark, sf_dir)))
-    fractions = cells.groupBy("pattern").agg((F.least(F.lit(20), F.count("*")) / F.count("*")).alias("fraction"))
-    return S.family_inclusion(cells, fractions).select("family_id", F.round("probability", 9).alias("probability"))
+    return H.inclusion(S.cells(frame(spark, sf_dir)), SIZES)
 
 
 @query
 def seeded_family_sample(spark, sf_dir):
-    cells = S.cells(M.linkage(rows(spark, sf_dir)))
+    cells = S.cells(frame(spark, sf_dir))
     out = S.drawn(S.shuffled(cells, F.concat_ws(":", "pattern", "bucket"), ["family_id"], "20260904"), 10)
     return out.select("stratum", "position", "family_id", "stratum_size", F.round("weight", 9).alias("weight"))
 
@@ -207,10 +237,18 @@ def resume_antijoin(spark, sf_dir):
     return I.pending(repos, repos.where("user_id % 3 = 0")).select("repo_id")
 
 
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of every fifth repository, half of them to be tried again."""
+    repos = A.repositories(spark, sf_dir).where("user_id % 5 = 0")
+    return repos.select(F.col("repo_id").alias("repo"), F.lit("collect").alias("stage"), F.lit("git_clone_failed").alias("error_type"), F.concat(F.lit("exit code "), F.col("user_id") % 4).alias("error"), (F.col("user_id") % 2 == 0).alias("retryable"))
+
+
 @query
 def retry_prune(spark, sf_dir):
-    errors = A.repositories(spark, sf_dir).where("user_id % 5 = 0").withColumn("retryable", F.col("user_id") % 2 == 0)
-    return I.pruned(A.routes(spark, sf_dir).withColumnRenamed("repository", "repo_id"), errors).groupBy("repo_id").agg(F.count("*").alias("rows"))
+    left = K.without_retryable(A.repositories(spark, sf_dir), A.routes(spark, sf_dir), failures(spark, sf_dir))
+    keys = (("repositories", "repo_id"), ("evidence", "repository"), ("errors", "repo"))
+    parts = [df.groupBy(F.lit(name).alias("table"), F.col(key).alias("repo_id")).agg(F.count("*").alias("rows")) for df, (name, key) in zip(left, keys)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
@@ -220,7 +258,7 @@ def first_seen(spark, sf_dir):
 
 @query
 def discovery_queries(spark, sf_dir):
-    return I.search_queries(spark, TERMS, LANGUAGES, 10)
+    return I.search_queries(spark, R.SEARCH_TERMS, R.SEARCH_LANGUAGES, 20)
 
 
 @query
@@ -236,10 +274,11 @@ def href_links(spark, sf_dir):
 
 @query
 def route_weights(spark, sf_dir):
-    own = M.linkage(rows(spark, sf_dir))
-    size = own.groupBy("bucket").agg(F.count("*").alias("stratum_size"))
-    taken = F.least(F.lit(100), F.col("stratum_size"))
-    return size.select("bucket", "stratum_size", taken.cast("long").alias("sampled"), F.round(F.col("stratum_size") / taken, 9).alias("weight"))
+    """Each stratum of the frame with its sample size, fraction and weight."""
+    limits = F.create_map(*[x for k, n in R.ROUTE_SAMPLE_SIZES["full"].items() for x in (F.lit(k), F.lit(n).cast("long"))])
+    size = frame(spark, sf_dir).groupBy(S.route_stratum().alias("stratum")).agg(F.count("*").alias("stratum_size"))
+    taken = F.least(F.col("stratum_size"), F.coalesce(F.element_at(limits, F.col("stratum")), F.col("stratum_size")))
+    return size.select("stratum", "stratum_size", taken.alias("sampled"), T.ratio_text(taken, F.col("stratum_size")).alias("fraction"), T.ratio_text(F.col("stratum_size"), taken).alias("weight"))
 
 
 @query
@@ -257,11 +296,7 @@ def report_ratios(spark, sf_dir):
 
 @query
 def manual_review_top100(spark, sf_dir):
-    """The first 100 rows for review; the limit is the feature."""
-    key = ["repository", "method", "normalized_path", "source_kind"]
-    first = M.linkage(rows(spark, sf_dir)).orderBy(F.desc("confidence"), *key).limit(100)
-    nth = F.row_number().over(Window.orderBy(F.desc("confidence"), *key)).cast("long")
-    return first.withColumn("nth", nth).select("nth", F.format_string("cancel-%04d", "nth").alias("sample_id"), *key, "bucket")
+    return report.review_lines(evidence(spark, sf_dir), failures(spark, sf_dir))
 
 
 @query
@@ -270,11 +305,132 @@ def adjacent_evidence(spark, sf_dir):
     return M.adjacent(M.linkage(own), own).select("repository", "method", "normalized_path", "source_kind", "adjacent")
 
 
+def sheet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The labelling view and the machine view of every route of the frame."""
+    ev, families = evidence_and_families(spark, sf_dir)
+    own = E.independent(ev, families)
+    full = H.sheet(H.sheet_rows(S.primary_pattern(M.linkage(own)), own), C.REPRESENTATIVE_SHEET, "family-pattern-representative")
+    return H.blind_split(full, H.operation_context(ev))
+
+
 @query
 def blind_view(spark, sf_dir):
-    own = M.linkage(rows(spark, sf_dir))
-    key = [F.col(c) for c in ("repository", "method", "normalized_path", "source_kind")]
-    return own.select(T.digest(*key).alias("evidence_id"), "method", "path", F.lit("").alias("label"), F.lit("").alias("rationale"))
+    return sheet(spark, sf_dir)[0].select("evidence_id", "httpMethod", "path", "lineStart", "responseCodes", "operationSummary", "operationDescription", "responseSemanticsEvidence", "label_taxonomy", "allowed_final_labels", "final_label")
+
+
+@query
+def machine_view(spark, sf_dir):
+    return sheet(spark, sf_dir)[1].select("evidence_id", "route_id", "family_id", "pattern", "linkageBucket", "estimationPopulation", "cancelTargetPath", "routeLevelOperationLinked", "operationTarget", "domainTransitionRisk", "adjacentOperationEvidence", "terminalStateEvidence", "confidence", "primaryLabel")
+
+
+@query
+def evidence_ids(spark, sf_dir):
+    return H.identified(evidence(spark, sf_dir)).select(*E.KEY, "route_id", "evidence_id")
+
+
+@query
+def cell_evidence(spark, sf_dir):
+    return H.cell_evidence(frame(spark, sf_dir), ["pattern", "family_id"], 5)
+
+
+@query
+def design_weights(spark, sf_dir):
+    return H.design_weights(S.cells(frame(spark, sf_dir)), SIZES)
+
+
+@query
+def strict_memberships(spark, sf_dir):
+    return H.memberships(frame(spark, sf_dir))
+
+
+@query
+def sheet_summary(spark, sf_dir):
+    own = settled(frame(spark, sf_dir))
+    return H.summary(own, S.cells(own))
+
+
+@query
+def label_agreement(spark, sf_dir):
+    """The two columns of ``labels`` taken as two labellers."""
+    return H.agreement(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", "toxic")
+
+
+LABELS = ["operation-cancellation", "domain-state-transition", "ambiguous"]
+
+
+@query
+def stratified_bounds(spark, sf_dir):
+    """Bounds of the share of operation cancellations, with labels that follow from the line."""
+    own = settled(frame(spark, sf_dir).withColumn("stratum", S.route_stratum()))
+    label = F.get(F.array(*[F.lit(x) for x in LABELS]), F.col("line") % 3)
+    strata = own.groupBy("stratum").agg(F.count("*").alias("size"))
+    return H.stratified_bounds(own.where("line % 2 = 0").select("stratum", label.alias("label")), strata, LABELS[0])
+
+
+@query
+def distributions(spark, sf_dir):
+    return M.distributions(rows(spark, sf_dir), A.repositories(spark, sf_dir), ["language", "framework", "vendor"])
+
+
+@query
+def linkage_ratios(spark, sf_dir):
+    own = settled(rows(spark, sf_dir))
+    linked = settled(M.linkage(own))
+    return report.linkage_ratios(M.linkage_totals(linked), M.envelope(linked), M.concept_metrics(own))
+
+
+@query
+def seed_rows(spark, sf_dir):
+    return K.seeds(A.seed_documents(spark, sf_dir)).select("doc", "ordinal", "repository_url", "owner", "name", "language", "stars", "carried")
+
+
+@query
+def repository_rows(spark, sf_dir):
+    out = K.repositories(K.seeds(A.seed_documents(spark, sf_dir)), A.looked_up(spark, sf_dir))
+    return out.select("repo_id", "repository_url", "language", "stars", "forks", "license", "last_activity", "default_branch", "fork_parent", "probable_origin", "vendor")
+
+
+def discovery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A run over the items as if 36 queries had found them; the first two have run and what they found is known."""
+    items = A.items(spark, sf_dir).withColumn("query_order", F.col("event_id") % 36).withColumn("item_order", F.expr("event_id div 36"))
+    found = D.seeds(items, ["query_order", "item_order"]).withColumn("query", F.concat(F.lit("q"), "query_order"))
+    completed = spark.createDataFrame([("q0",), ("q1",)], "query string")
+    known = found.join(completed, "query").select(F.concat("repository_url", F.lit("/")).alias("repository_url")).distinct()
+    return K.discovered(found, known, completed, TARGET)
+
+
+@query
+def discovery_run(spark, sf_dir):
+    return discovery(spark, sf_dir)[0].select("query", "query_order", "item_order", "repository_url")
+
+
+@query
+def discovery_log(spark, sf_dir):
+    return discovery(spark, sf_dir)[1]
+
+
+@query
+def ordered_outputs(spark, sf_dir):
+    """Evidence in the order of its seeds; every third repository has none."""
+    repos = A.repositories(spark, sf_dir).where("user_id % 3 > 0").select("owner", F.substring_index("repo_id", "/", -1).alias("name"), F.col("user_id").alias("ordinal"))
+    _, ev, _ = K.stream_outputs(A.repositories(spark, sf_dir), E.classified(A.routes(spark, sf_dir)), failures(spark, sf_dir), repos)
+    return ev.select("seed_order", "repository", "file", "line", "method", "path", "concept", "ord")
+
+
+@query
+def safe_casts(spark, sf_dir):
+    text = F.regexp_extract("props", r"(\d+)", 1)
+    text = F.when(F.col("event_id") % 5 == 0, F.concat(text, F.lit(".5"))).when(F.col("event_id") % 7 == 0, "x").otherwise(text)
+    codes = T.clean_codes(F.array(F.lit("202"), text, F.lit("x"), F.lit("202")))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", T.safe_int(text).alias("as_int"), T.safe_float(text).alias("as_float"), F.array_join(codes.cast("array<string>"), ",").alias("codes"), T.ratio_text(T.safe_float(text), F.col("event_id") % 4).alias("ratio"), T.source_kind(F.get(F.array(F.lit("OpenAPI-yaml"), F.lit("source-routes"), F.lit("Other"), F.lit(None)), (F.col("event_id") % 4).cast("int"))).alias("kind"))
+
+
+@query
+def evidence_records(spark, sf_dir):
+    made = A.routes(spark, sf_dir).withColumn("method", F.lower("method")).withColumn("codes", F.array(F.col("codes")[0], F.lit(404), F.lit(202))).withColumn("confidence", F.col("ord") % 97 / 97)
+    out = K.evidence_records(made)
+    return out.select("ord", "method", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), "line_end", "confidence", "extractor_version")
 
 
 @query
@@ -302,12 +458,12 @@ def discovery_seeds(spark, sf_dir):
 
 @query
 def delete_buckets(spark, sf_dir):
-    return S.delete_buckets(M.linkage(rows(spark, sf_dir)))
+    return S.delete_buckets(frame(spark, sf_dir))
 
 
 @query
 def cell_representatives(spark, sf_dir):
-    return S.representatives(M.linkage(rows(spark, sf_dir)), SEED).select("pattern", "family_id", "repository", "method", "normalized_path", "source_kind", "cell_routes")
+    return S.representatives(frame(spark, sf_dir), SEED).select("pattern", "family_id", "repository", "method", "normalized_path", "source_kind", "cell_routes")
 
 
 def selected(linked: DataFrame, profile: str) -> DataFrame:
@@ -316,34 +472,30 @@ def selected(linked: DataFrame, profile: str) -> DataFrame:
 
 @query
 def cell_sample(spark, sf_dir):
-    return selected(M.linkage(rows(spark, sf_dir)), "full")
+    return selected(settled(frame(spark, sf_dir)), "full")
 
 
 @query
 def cell_routes(spark, sf_dir):
-    linked = M.linkage(rows(spark, sf_dir))
-    return S.expand_cells(selected(linked, "minimum"), linked).select("route_sample_id", "pattern", "family_id", "bucket", "repository", "method", "normalized_path", "source_kind")
+    own = settled(frame(spark, sf_dir))
+    return S.expand_cells(selected(own, "minimum"), own).select("route_sample_id", "pattern", "family_id", "bucket", "repository", "method", "normalized_path", "source_kind")
 
 
 @query
 def route_sample(spark, sf_dir):
-    own = S.primary_pattern(M.linkage(rows(spark, sf_dir)), ORDER, ["repository", "method", "normalized_path"])
-    return S.route_sample(own, SEED).select("stratum", "position", "repository", "method", "normalized_path", "source_kind", "stratum_size", "weight")
+    return S.route_sample(frame(spark, sf_dir), SEED).select("stratum", "position", "repository", "method", "normalized_path", "source_kind", "stratum_size", "weight")
 
 
 @query
 def strict_family_sample(spark, sf_dir):
-    own = S.primary_pattern(M.linkage(rows(spark, sf_dir)), ORDER, ["repository", "method", "normalized_path"])
-    return S.family_sample(own, SEED).select("family_id", "memberships", "position", "stratum_size", "weight")
+    return S.family_sample(frame(spark, sf_dir), SEED).select("family_id", "memberships", "position", "stratum_size", "weight")
 
 
 @query
 def concept_report(spark, sf_dir):
-    own = rows(spark, sf_dir)
-    concepts = M.concept_metrics(own)
-    score = scored(spark, sf_dir, concepts).select("concept", "score")
-    compared = M.compare_standards(concepts, standards(spark)).select("concept", "coverage", "conflict")
-    return report.concept_lines(concepts.join(score, "concept").join(compared, "concept").join(M.vendors(own), "concept"))
+    own, concepts, compared, scores = scored(spark, sf_dir)
+    said = concepts.join(scores.select("concept", "score"), "concept").join(compared.select("concept", "coverage", "conflict"), "concept")
+    return report.concept_lines(said.join(M.vendors(own), "concept"))
 
 
 @query

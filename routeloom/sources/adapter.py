@@ -29,6 +29,8 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src/f"), F.col("event_id") % 13, F.lit(".py")).alias("file"),
         (F.col("event_id") % 400 + 1).cast("int").alias("line"),
         pick(SYMBOLS, 5).alias("symbol"),
+        F.when(F.col("event_id") % 3 == 0, pick(SYMBOLS, 5)).alias("summary"),
+        F.when(F.col("event_id") % 6 == 0, F.lit("described")).alias("description"),
     )
 
 
@@ -45,6 +47,8 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 9 == 1, F.concat(F.lit("up/r"), F.col("user_id") % 3)).alias("fork_parent"),
         F.when(F.col("user_id") % 10 == 2, F.concat(F.lit("orig"), F.col("user_id") % 4)).alias("probable_origin"),
         F.when(F.col("user_id") % 13 == 5, F.lit("tutorial")).otherwise(F.lit("service")).alias("category"),
+        F.get(F.array(*[F.lit(x) for x in ("express", "flask", "", None, "gin")]), (F.col("user_id") % 5).cast("int")).alias("framework"),
+        owner.alias("vendor"),
     )
 
 
@@ -87,3 +91,52 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 23 == 0).alias("fork"),
         F.lit(None).cast("boolean").alias("private"),
     )
+
+
+def seed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, value: seed documents of up to 50 items, every other one a bare list; items are addresses or objects."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    i = F.col("event_id")
+    url = F.concat(F.lit("https://github.com/o"), i % 5, F.lit("/n"), i)
+    item = (
+        F.when(i % 3 == 0, F.concat(F.lit('"'), url, F.lit('"')))
+        .when(i % 3 == 1, F.concat(F.lit('{"repository_url":"'), url, F.lit('.git","stars":'), F.when(i % 2 == 0, F.lit("null")).otherwise((i % 9).cast("string")), F.lit(',"language":"Go"}')))
+        .otherwise(F.concat(F.lit('{"url":"'), url, F.lit('/","owner":"x","name":"y'), i, F.lit('"}')))
+    )
+    docs = e.select(F.expr("event_id div 50").alias("doc"), F.struct("event_id", item.alias("item")).alias("x")).groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["item"]), ","), F.lit("]"))
+    return docs.select("doc", F.when(F.col("doc") % 2 == 0, text).otherwise(F.concat(F.lit('{"repositories":'), text, F.lit("}"))).alias("value"))
+
+
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a look-up says of the repositories of every fourth event."""
+    i = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").where(i % 4 == 0)
+    return e.select(
+        F.when(i % 3 == 2, F.concat(F.lit("x/y"), i)).otherwise(F.concat(F.lit("o"), i % 5, F.lit("/n"), i)).alias("repo_id"),
+        F.lit("Rust").alias("language"),
+        (i % 7).alias("stargazers_count"),
+        (i % 11).alias("forks_count"),
+        F.struct(F.when(i % 8 == 0, "MIT").alias("spdx_id"), F.lit("apache").alias("key")).alias("license"),
+        F.lit("2025-02-03").alias("pushed_at"),
+        F.lit("trunk").alias("default_branch"),
+        F.when(i % 12 == 0, "up/stream").alias("parent"),
+    )
+
+
+#: A standards map in its stored shape: id, concepts, confidence, default coverage, gap, and coverage by concept.
+STANDARDS = [
+    ("rfc9110", ["http-async-operation", "http-cancellation"], 0.9, "adjacent", "general semantics only", {"http-async-operation": ("partial", "202 without a status resource", "none", ["section 15.3.3"], 0.95)}),
+    ("rfc7240", ["http-async-operation"], 0.8, None, None, {"http-async-operation": ("partial", "", "", ["respond-async"], None)}),
+    ("rfc9457", ["http-async-operation", "http-cancellation"], 0.7, None, "errors only", {"http-cancellation": ("none", None, "none", None, 0.5)}),
+    ("openapi", ["http-async-operation", "http-cancellation"], None, "adjacent", None, {}),
+    ("odata", ["http-async-operation"], 0.6, "partial", "own status monitor", {"http-async-operation": (None, None, "status monitor differs", [], 0.6)}),
+    ("cloudevents", ["http-events"], 0.4, "full", None, {}),
+    ("lro-guide", ["http-cancellation"], 0.5, None, None, {"http-cancellation": ("adjacent", "guideline", None, ["cancel method"], None)}),
+]
+STANDARD = "ord int, id string, title string, url string, concepts array<string>, confidence double, default_coverage string, gap string, concept_coverage map<string, struct<coverage:string, gap:string, conflict:string, evidence:array<string>, confidence:double>>"
+
+
+def standards(spark: SparkSession) -> DataFrame:
+    rows = [(k, i, i.upper(), f"https://example.org/{i}", *rest) for k, (i, *rest) in enumerate(STANDARDS)]
+    return spark.createDataFrame(rows, STANDARD)
