@@ -179,9 +179,11 @@ def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
     ordinary, toxic = rows[rows.toxic == 0], rows[rows.toxic == 1]
-    assert ordinary.predicted.mean() < 0.02
-    assert rows.score.rank()[rows.toxic == 1].mean() > rows.score.rank()[rows.toxic == 0].mean() + 0.3 * len(rows)
-    assert len(toxic)
+    print("held out:", len(toxic), toxic.predicted.sum(), len(ordinary), ordinary.predicted.sum())
+    assert ordinary.predicted.mean() <= 0.01
+    # About 0.64 of the toxic rows of the calibration fold hold an insult at all.
+    assert toxic.predicted.mean() >= 0.5
+    assert rows.score.rank()[rows.toxic == 1].mean() > rows.score.rank()[rows.toxic == 0].mean() + 0.4 * len(rows)
 
 
 def test_shuffle_keeps_every_row(spark, corpus, documents):
@@ -395,18 +397,75 @@ def test_fullest_is_optimal():
 
 
 def test_toxicity_lower_orders_are_counted_over_all_documents(spark):
-    texts = ["bramble brambly", "tremble trembling", "bumble crumble grumble", "Scramble ramble brambled", None, "gamble gambler bramble"]
+    texts = ["bramble brambly", "tremble trembling", "bumble crumble grumble", "Scramble ramble brambled", None, "gamble gambler bramble", "дом домой 漢字"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    (keys, own), middle, _ = toxicity.gram_counts(docs, {0: 0, 1: 1})
-    ends = lambda texts, order: set(toxicity.grams(sorted({w for t in texts if t for w in t.lower().split()}), order)[0].tolist())
-    assert set(keys.tolist()) == ends(texts[:2], 6) and own.sum() == len(toxicity.grams(["bramble", "brambly"], 6)[0]) + len(toxicity.grams(["tremble", "trembling"], 6)[0])
-    grams, sample = ends(texts, 6), {k // 1024 for k in ends(texts[:2], 6)}
-    for order in (5, 4):
+    letters = toxicity.sample_letters(docs, {0: 0, 1: 1, 6: 0})
+    assert set(letters) == set("bramley" + "tremblin" + "g" + "домой漢字")
+    table, n_codes = toxicity.letter_table(letters), toxicity.CODES
+    assert len({int(table[ord(x)]) for x in letters}) == len(letters) and table[ord("z")] == toxicity.OTHER
+    (keys, own), middle = toxicity.gram_counts(docs, {0: 0, 1: 1, 6: 0}, table)
+    of = lambda some, order: toxicity.grams(sorted({w for t in some if t for w in t.lower().split()}), order, table)[0]
+    sample = [texts[0], texts[1], texts[6]]
+    assert set(keys.tolist()) == set(of(sample, 6).tolist()) and own.sum() == sum(len(of([t], 6)) for t in sample)
+    grams, contexts = set(of(texts, 6).tolist()), {k // n_codes for k in of(sample, 6).tolist()}
+    for order in (5, 4, 3):
         count = {}
         for g in grams:
-            count[g % 1024**order] = count.get(g % 1024**order, 0) + 1
+            count[g % n_codes**order] = count.get(g % n_codes**order, 0) + 1
         grams = set(count)
-        needed = {c % 1024 ** (order - 1) for c in sample}
+        needed = {c % n_codes ** (order - 1) for c in contexts}
         keys, n, once = middle[order]
-        assert dict(zip(keys.tolist(), n.tolist())) == {g: m for g, m in count.items() if g // 1024 in needed}
-        assert once == tuple(sum(m == k for m in count.values()) for k in (1, 2))
+        assert dict(zip(keys.tolist(), n.tolist())) == {g: m for g, m in count.items() if g // n_codes in needed}
+        assert once == tuple(sum(m == k for m in count.values()) for k in (1, 2, 3, 4))
+
+
+def test_toxicity_equals_plain_kneser_ney():
+    """Ratios of words against a recursive definition, and probabilities that sum to one."""
+    from collections import Counter
+
+    random.seed(6)
+    words = ["".join(random.choices("abcд", k=random.randrange(1, 7))) for _ in range(300)]
+    sides, every = (words[:90], words[60:200]), words
+    table = toxicity.letter_table(list("abcд"))
+    n_codes, high, low = toxicity.CODES, toxicity.HIGH, toxicity.LOW
+    coded = lambda w: [toxicity.BOUNDARY] * (high - 1) + [int(table[ord(x)]) for x in w] + [toxicity.BOUNDARY]
+    tuples = lambda w: [tuple(coded(w)[i : i + high]) for i in range(len(w) + 1)]
+    top = [Counter(g for w in side for g in tuples(w)) for side in sides]
+    number = lambda g: sum(c * n_codes ** (len(g) - 1 - i) for i, c in enumerate(g))
+    grams, counts = {g for w in every for g in tuples(w)}, {}
+    for order in range(high - 1, low - 1, -1):
+        counts[order] = Counter(g[1:] for g in grams)
+        grams = set(counts[order])
+    keys = np.array(sorted({number(g) for c in top for g in c}))
+    own = np.array([[{number(g): n for g, n in c.items()}.get(k, 0) for k in keys.tolist()] for c in top])
+    often = lambda c: tuple(sum(n == k for n in c.values()) for k in (1, 2, 3, 4))
+    middle = {}
+    for order, c in counts.items():
+        listed = sorted((number(g), n) for g, n in c.items())
+        middle[order] = (np.array([k for k, _ in listed]), np.array([n for _, n in listed]), often(c))
+    model = toxicity.kneser_ney(table, (keys, own), middle)
+
+    def p(side, g):
+        if len(g) < low:
+            return 1 / n_codes
+        c = top[side] if len(g) == high else counts[len(g)]
+        after = {x: n for x, n in c.items() if x[:-1] == g[:-1]}
+        if not after:
+            return p(side, g[1:])
+        taken, size = toxicity.discounts(*often(c)), sum(after.values())
+        kept = {x: max(n - taken[min(n, 3)], 0) / size for x, n in after.items()}
+        return kept.get(g, 0.0) + (1 - sum(kept.values())) * p(side, g[1:])
+
+    some = words[:20] + ["zz", "aбa", "d"]
+    want = [sum(np.log(p(1, g)) - np.log(p(0, g)) for g in tuples(w)) for w in some]
+    assert np.allclose(model.ratios(some), want)
+    assert sum(p(0, (*tuples("abca")[3][:-1], x)) for x in range(n_codes)) == pytest.approx(1)
+
+
+def test_toxicity_never_reads_held_out_labels(spark, tmp_path):
+    """Scores stay the same whatever the held-out rows' labels say."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    other = labels.withColumn("toxic", F.when(toxicity.fold() == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = ({r.record.doc_id: (r.score, r.predicted) for r in toxicity.score_toxicity(docs, x).collect()} for x in (labels, other))
+    assert one == two
