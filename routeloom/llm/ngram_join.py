@@ -86,9 +86,9 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def in_runs(bodies: list[bytes]) -> list[bytes]:
+def in_runs(_: np.ndarray, bodies: R.Bodies) -> pa.BinaryArray:
     """Replies: for each shingle the logarithm of how many runs have it."""
-    return [np.log2(c).astype(np.uint8).tobytes() for c in R.runs_with(bodies, np.uint32)]
+    return R.packed(bodies.sizes(np.uint32), np.log2(R.runs_with(bodies.joined(np.uint32))).astype(np.uint8))
 
 
 def quarter(size: int) -> int:
@@ -104,9 +104,7 @@ def nodes(scratch: Scratch, docs: DataFrame) -> DataFrame:
     def keys(own: R.Documents, _: dict, __: int):
         sets = sets_of(own)
         every = np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
-        short = R.short_key(every, parts)
-        for part, where in R.by_part(every, parts):
-            yield part, short[where].tobytes()
+        return R.sent(every, R.short_key(every), parts)
 
     def describe(_: int, table: pa.Table, heard: dict) -> pa.Table:
         own = R.Documents(table)
@@ -114,9 +112,7 @@ def nodes(scratch: Scratch, docs: DataFrame) -> DataFrame:
         # Rows with equal sets count once for how common a shingle is here.
         distinct = {s.tobytes(): s for s in sets if len(s)}
         every, counts = np.unique(np.concatenate(list(distinct.values())) if distinct else np.zeros(0, dtype=np.uint64), return_counts=True)
-        spread = np.zeros(len(every), dtype=np.uint8)
-        for part, where in R.by_part(every, parts):
-            spread[where] = np.frombuffer(heard[SPREAD][part], dtype=np.uint8)
+        spread = heard[SPREAD].joined(np.uint8) if SPREAD in heard else np.zeros(len(every), dtype=np.uint8)
         alone = (spread == 0) & (counts == 1)
         prefixes, arrays, bitmaps = [], [], []
         for s in sets:

@@ -7,6 +7,12 @@ part gathers one range from all runs and replies to each run about its own
 keys, in the order sent. A key goes once per run however often it occurs
 there, so no key's occurrences ever meet in one task.
 
+A run sends a message to a part only if it has a key there: no more messages
+than parts and no more than keys. So the messages of an exchange are at most
+the keys sent, which grow with the text; the product of runs and parts bounds
+them only while it is smaller than that. Messages are cut, counted and joined
+as whole arrays, so a message of few keys costs about what its row costs.
+
 Sampling: a window of given length holds at least one sampled key (the least
 k-gram hash in it, every one of equals), and equal windows hold the same ones
 at the same places. So a window can occur twice only if its sampled key does.
@@ -28,6 +34,8 @@ RUN_BYTES = 4 << 20
 #: Window starts that are sampled at a time.
 SEGMENT = 1 << 16
 SPREAD = np.uint64(0x632BE59BD9B4E019)
+#: Spark refuses tables of more buckets than spark.sql.sources.bucketing.maxBuckets; several runs share a bucket beyond this.
+MAX_BUCKETS = 50_000
 QUESTIONS = "part int, run int, body binary"
 REPLIES = "run int, kind int, part int, body binary"
 
@@ -47,30 +55,30 @@ class Runs:
         # The partition spreads equal rows; a retried task still sends each row where it was.
         run = F.expr(f"cast(pmod(hash_, {self.count}) as int)")
         staged = docs.select(*columns, F.xxhash64(id_col, text_col, F.spark_partition_id()).alias("hash_")).withColumn("run", run).drop("hash_")
-        self.table = scratch.bucketed(staged, "runs", "run", max(1, -(-self.count // 3)))
+        allowed = int(scratch.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        self.table = scratch.bucketed(staged, "runs", "run", max(1, min(-(-self.count // 3), MAX_BUCKETS, allowed)))
 
     def ask(self, name: str, keys: Callable, answer: Callable, kind: int, replies: DataFrame | None = None) -> DataFrame:
-        """One exchange: ``keys(docs, replies)`` gives (part, body) of a run; ``answer(bodies)`` replies to each body of a part, in order."""
-        parts = self.parts
+        """One exchange: ``keys(docs, replies, run)`` gives the parts and bodies of a run's messages; ``answer(runs, bodies)`` replies to each body of a part, in order."""
 
         def send(run: int, table: pa.Table, heard: dict) -> pa.Table:
-            sent = list(keys(Documents(table), heard, parts))
-            return pa.table([pa.array([p for p, _ in sent], pa.int32()), pa.array([run] * len(sent), pa.int32()), pa.array([b for _, b in sent], pa.binary())], ["part", "run", "body"])
+            parts, bodies = keys(Documents(table), heard, run)
+            return pa.table([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), run), pa.int32()), bodies], ["part", "run", "body"])
 
         def reply(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
             runs = table["run"].to_numpy()
             order = np.argsort(runs, kind="stable")
-            bodies = table["body"].to_pylist()
-            replies = answer([bodies[i] for i in order])
+            replies = answer(runs[order], Bodies.of(table["body"], order))
+            part = table["part"].take(pa.array(order)).cast(pa.int32())
             release()
-            n = len(order)
-            return pa.table([pa.array(runs[order], pa.int32()), pa.array([kind] * n, pa.int32()), table["part"].cast(pa.int32()), pa.array(replies, pa.binary())], ["run", "kind", "part", "body"])
+            return pa.table([pa.array(runs[order], pa.int32()), pa.array(np.full(len(order), kind), pa.int32()), part, replies], ["run", "kind", "part", "body"])
 
         questions = self.visit(send, QUESTIONS, replies)
         return self.scratch.write(questions.groupBy("part").applyInArrow(reply, REPLIES), name)
 
     def visit(self, function: Callable, schema: str, replies: DataFrame | None = None) -> DataFrame:
-        """``function(run, table, replies)`` for each run; replies: kind -> part -> body."""
+        """``function(run, table, replies)`` for each run; replies: kind -> Bodies in order of their parts."""
         if replies is None:
 
             def alone(key, table):
@@ -81,15 +89,47 @@ class Runs:
 
         def together(key, table, heard):
             release()
-            by_kind: dict[int, dict[int, bytes]] = {}
-            for kind, part, body in zip(heard["kind"].to_pylist(), heard["part"].to_pylist(), heard["body"].to_pylist()):
-                by_kind.setdefault(kind, {})[part] = body
-            run = key[0].as_py()
-            return function(run, table, by_kind)
+            heard = heard.combine_chunks()
+            kinds, parts = heard["kind"].to_numpy(), heard["part"].to_numpy()
+            by_kind = {}
+            for kind in np.unique(kinds).tolist():
+                own = np.flatnonzero(kinds == kind)
+                by_kind[kind] = Bodies.of(heard["body"], own[np.argsort(parts[own], kind="stable")])
+            return function(key[0].as_py(), table, by_kind)
 
         return self.table.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(together, schema)
 
 
+class Bodies:
+    """Binary values, one after another in one buffer."""
+
+    def __init__(self, array: pa.BinaryArray):
+        self.array = array
+        buffers = array.buffers()
+        offsets = np.frombuffer(buffers[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int32)
+        self.offsets = offsets.astype(np.int64) - int(offsets[0])
+        self.data = np.frombuffer(buffers[2], dtype=np.uint8)[int(offsets[0]) : int(offsets[-1])] if len(array) and buffers[2] is not None else np.zeros(0, np.uint8)
+
+    @classmethod
+    def of(cls, column: pa.ChunkedArray, order: np.ndarray) -> "Bodies":
+        return cls(pa.concat_arrays(column.chunks or [pa.array([], pa.binary())]).take(pa.array(order)))
+
+    def joined(self, dtype) -> np.ndarray:
+        return self.data.view(dtype) if len(self.data) else np.zeros(0, dtype)
+
+    def sizes(self, dtype) -> np.ndarray:
+        return np.diff(self.offsets) // np.dtype(dtype).itemsize
+
+    def values(self) -> list[bytes]:
+        return self.array.to_pylist()
+
+
+def packed(sizes: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    """``values`` cut into binary values of ``sizes`` items."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * values.dtype.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
 def release() -> None:
     """Give unused Arrow memory back, so that one worker's peaks don't add up."""
     pa.default_memory_pool().release_unused()
@@ -164,40 +204,40 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
-    """The non-empty slices of sorted ``keys`` by part."""
-    edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-    for part in range(parts):
-        if edges[part] < edges[part + 1]:
-            yield part, slice(int(edges[part]), int(edges[part + 1]))
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted ``keys`` fall into, and how many of them each has."""
+    own = part_of(keys, parts)
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+    return own[first], np.diff(np.r_[first, len(own)])
+
+
+def sent(keys: np.ndarray, values: np.ndarray, parts: int) -> tuple[np.ndarray, pa.BinaryArray]:
+    """Messages that carry a value for each of the sorted ``keys``."""
+    own, sizes = by_part(keys, parts)
+    return own, packed(sizes, values)
 
 
-def short_key(keys: np.ndarray, parts: int) -> np.ndarray:
+def short_key(keys: np.ndarray) -> np.ndarray:
     """32 bits of a key that, within its part, tell keys apart but for one in some thousands."""
     return (mixed(keys) >> np.uint64(32)).astype(np.uint32)
 
 
-def runs_with(bodies: list[bytes], dtype) -> list[np.ndarray]:
-    """For each body (distinct keys of a run): in how many bodies each of its keys is."""
-    arrays = [np.frombuffer(b, dtype=dtype) for b in bodies]
-    keys = np.concatenate(arrays)
+def runs_with(keys: np.ndarray) -> np.ndarray:
+    """For each of the keys of several runs (distinct within a run): how many runs have it."""
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
-    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)])
     sizes = np.diff(np.r_[first, len(ranked)])
     counts = np.empty(len(keys), dtype=np.int64)
     counts[order] = np.repeat(sizes, sizes)
-    return np.split(counts, np.cumsum([len(a) for a in arrays])[:-1])
+    return counts
 
 
-def shared_bits(bodies: list[bytes], dtype) -> list[bytes]:
-    """Replies: a bit for each key, set if another run has it too."""
-    return [np.packbits(c > 1).tobytes() for c in runs_with(bodies, dtype)]
+def shared(_: np.ndarray, bodies: Bodies) -> pa.BinaryArray:
+    """Replies to 32-bit keys: a byte for each, 1 if another run has it too."""
+    return packed(bodies.sizes(np.uint32), (runs_with(bodies.joined(np.uint32)) > 1).astype(np.uint8))
 
 
-def heard_bits(keys: np.ndarray, replies: dict[int, bytes], parts: int) -> np.ndarray:
-    """The bits for sorted distinct ``keys``, from the replies of their parts."""
-    out = np.zeros(len(keys), dtype=bool)
-    for part, where in by_part(keys, parts):
-        out[where] = np.unpackbits(np.frombuffer(replies[part], dtype=np.uint8), count=where.stop - where.start).astype(bool)
-    return out
+def heard_flags(keys: np.ndarray, heard: dict, kind: int) -> np.ndarray:
+    """The flags for sorted distinct ``keys``, from the replies."""
+    return heard[kind].joined(np.uint8).astype(bool) if kind in heard else np.zeros(len(keys), dtype=bool)

@@ -16,8 +16,9 @@ it, and the least doc_id among them.
 
 Defined results: null text is empty; a null doc_id comes after all others and
 nulls are equal among themselves; documents of one doc_id don't count against
-each other; matches never cross documents; an empty table gives an empty
-result; other columns travel along if asked for.
+each other; matches never cross documents; a very long text is held whole by
+one task and looked at in segments; an empty table gives an empty result;
+other columns travel along if asked for, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,18 +64,11 @@ def sampled(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
     return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
 
 
-def ask_grams(docs: R.Documents, _: dict, parts: int):
-    keys = np.unique(sampled(docs.texts)[2])
-    short = R.short_key(keys, parts)
-    for part, where in R.by_part(keys, parts):
-        yield part, short[where].tobytes()
-
-
-def repeated(docs: R.Documents, heard: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(docs: R.Documents, heard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sampled places whose k-gram another run has, or another document of this one."""
     doc, place, h = sampled(docs.texts)
     keys, inverse = np.unique(h, return_inverse=True)
-    again = R.heard_bits(keys, heard, parts)
+    again = R.heard_flags(keys, heard, KINDS)
     low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
     np.minimum.at(low, inverse, docs.rank[doc])
     np.maximum.at(high, inverse, docs.rank[doc])
@@ -92,7 +86,7 @@ class Suffixes:
     WIDTH = WINDOW + (WINDOW - GRAM) + 2
 
     def __init__(self, docs: R.Documents, heard: dict, parts: int):
-        self.doc, self.place, h = repeated(docs, heard, parts)
+        self.doc, self.place, h = repeated(docs, heard)
         before = WINDOW - GRAM
         sizes = np.array([len(t) for t in docs.texts], dtype=np.int64)
         gap = bytes(before), bytes(WINDOW)
@@ -119,11 +113,11 @@ class Suffixes:
         self.least = np.full(len(self.keys), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.suffix, docs.rank[self.doc])
 
-    def slices(self, parts: int):
-        edges = np.searchsorted(self.part, np.arange(parts + 1))
-        for part in range(parts):
-            if edges[part] < edges[part + 1]:
-                yield part, slice(int(edges[part]), int(edges[part + 1]))
+    def slices(self) -> tuple[np.ndarray, list[slice]]:
+        """The parts that have suffixes, and where those are."""
+        first = np.flatnonzero(np.r_[True, self.part[1:] != self.part[:-1]][: len(self.part)])
+        ends = np.r_[first[1:], len(self.part)]
+        return self.part[first], [slice(int(a), int(b)) for a, b in zip(first, ends)]
 
 
 def common(keys: np.ndarray) -> np.ndarray:
@@ -259,12 +253,12 @@ def least_by_window(keys: np.ndarray, shared: np.ndarray, least: np.ndarray):
         yield start, out
 
 
-def answer_suffixes(bodies: list[bytes]) -> list[bytes]:
+def answer_suffixes(_: np.ndarray, bodies: R.Bodies) -> pa.Array:
     """For each suffix of each run, a bit for each window start: does a smaller doc_id than the run's least have that window?"""
     import zstandard
 
     width = Suffixes.WIDTH
-    decoded = [front_decoded(b, width) for b in bodies]
+    decoded = [front_decoded(b, width) for b in bodies.values()]
     sequences = [np.ascontiguousarray(k).view(f"V{width}").ravel().tolist() for k, _, _ in decoded]
     source, prefix = merge(sequences, [s.tolist() for _, s, _ in decoded], width)
     del sequences
@@ -287,7 +281,7 @@ def answer_suffixes(bodies: list[bytes]) -> list[bytes]:
     in_order = np.empty(len(row), dtype=np.int64)
     in_order[row] = bits
     pack = zstandard.ZstdCompressor(level=1)
-    return [pack.compress(in_order[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
+    return pa.array([pack.compress(in_order[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], pa.binary())
 
 
 def removed_bytes(docs: R.Documents, heard: dict, parts: int) -> np.ndarray:
@@ -297,11 +291,11 @@ def removed_bytes(docs: R.Documents, heard: dict, parts: int) -> np.ndarray:
     sizes = np.array([len(t) for t in docs.texts], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
     starts = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
-    own = Suffixes(docs, heard.get(KINDS, {}), parts)
+    own = Suffixes(docs, heard, parts)
     if len(own.doc):
         bits = np.empty(len(own.keys), dtype=np.int64)
-        for part, where in own.slices(parts):
-            bits[where] = np.frombuffer(zstandard.ZstdDecompressor().decompress(heard[SUFFIXES][part]), dtype=np.int64)
+        for where, body in zip(own.slices()[1], heard[SUFFIXES].values()):
+            bits[where] = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype=np.int64)
         own_bits = bits[own.suffix]
         # An equal suffix in a smaller doc_id of this run: every window counts.
         later = docs.rank[own.doc] > own.least[own.suffix]
@@ -351,12 +345,16 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rest: list[str] | None = N
     staged = R.Runs(scratch, docs, rest=rest)
     parts = staged.parts
 
+    def ask_grams(own: R.Documents, _: dict, __: int):
+        keys = np.unique(sampled(own.texts)[2])
+        return R.sent(keys, R.short_key(keys), parts)
+
     def send(own: R.Documents, heard: dict, _: int):
-        found = Suffixes(own, heard.get(KINDS, {}), parts)
-        for part, where in found.slices(parts):
-            yield part, front_coded(found.keys[where], found.least[where])
+        found = Suffixes(own, heard, parts)
+        numbers, places = found.slices()
+        return numbers, pa.array([front_coded(found.keys[where], found.least[where]) for where in places], pa.binary())
 
-    grams = staged.ask("grams", ask_grams, lambda bodies: R.shared_bits(bodies, np.uint32), KINDS)
+    grams = staged.ask("grams", ask_grams, R.shared, KINDS)
     suffixes = staged.ask("suffixes", send, answer_suffixes, SUFFIXES, grams)
     schema = OUT
     if rest:

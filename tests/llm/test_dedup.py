@@ -3,7 +3,10 @@
 import collections
 import hashlib
 
+import pytest
+
 from routeloom.llm import ngram_join, substring_dedup, suffix_dedup
+from routeloom.llm import runs as runs_module
 from routeloom.llm._common import Scratch
 
 LAST = 2**63 - 1
@@ -34,7 +37,9 @@ def test_suffix_dedup(spark, corpus, documents, run_bytes):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_substring_dedup(spark, corpus, documents, run_bytes):
+@pytest.mark.parametrize("bits", [64, 7])
+def test_substring_dedup(spark, corpus, documents, run_bytes, bits, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HASH_BITS", bits)
     window, count = 35, collections.Counter()
     words = [(text or "").encode().split() for _, text in corpus]
     for w in words:
@@ -48,8 +53,56 @@ def test_substring_dedup(spark, corpus, documents, run_bytes):
         want.append((doc, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
     with Scratch(spark) as scratch:
         rows = substring_dedup.remove_substrings(scratch, documents).collect()
+        name = "strong_" if bits < 64 else ""
+        found = spark.read.parquet(f"{scratch.path}/{name}checked").collect()
     got = [(r.doc_id, r.n_words, sum(s.length for s in r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
+    # Every factor is a copy: its words stand at its source, and it isn't its own source.
+    assert all(r.equal for r in found)
+    texts, sources = collections.defaultdict(list), {(r.source_run, r.source_word, r.length): r for r in found}
+    for (doc, _), w in zip(corpus, words):
+        texts[doc].append(w)
+    n = 0
+    for r in rows:
+        for f in r.factors:
+            source = sources[f.source_run, f.source_word, f.length]
+            own = {tuple(w[f.start : f.start + f.length]) for w in texts[r.doc_id]}
+            assert f.length >= window and own & {tuple(w[source.source_start : source.source_start + f.length]) for w in texts[source.source_id]}
+            assert (source.source_id, source.source_start) != (r.doc_id, f.start) or len(texts[r.doc_id]) > 1
+            n += 1
+    assert n > 100
+
+
+def test_messages_grow_with_keys():
+    """Twice the runs and parts, with the same keys in all: no more messages than keys, and the same values heard."""
+    import numpy as np
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
+    for runs in (10, 100, 1000, 100_000):
+        parts, bodies = runs_module.sent(keys, runs_module.short_key(keys), runs // 2)
+        assert len(parts) <= min(runs // 2, len(keys)) and (np.diff(parts) > 0).all()
+        body = runs_module.Bodies(bodies)
+        assert (body.joined(np.uint32) == runs_module.short_key(keys)).all() and body.sizes(np.uint32).sum() == len(keys)
+
+
+def test_many_runs_need_no_more_buckets(spark, corpus, documents, monkeypatch):
+    monkeypatch.setattr(runs_module, "MAX_BUCKETS", 5)
+    whole, many = [], []
+    for run_bytes, out in ((4 << 20, whole), (2 << 10, many)):
+        defaults = runs_module.Runs.__init__.__defaults__
+        monkeypatch.setattr(runs_module.Runs.__init__, "__defaults__", (*defaults[:-1], run_bytes))
+        with Scratch(spark) as scratch:
+            staged = runs_module.Runs(scratch, documents)
+            assert run_bytes > 1 << 20 or staged.count > 100
+            out += [(r.doc_id, r.n_words, bytes(r.kept)) for r in substring_dedup.remove_substrings(scratch_of(spark, scratch), documents).collect()]
+    assert sorted(whole, key=str) == sorted(many, key=str)
+
+
+def scratch_of(spark, scratch):
+    """Another scratch folder that goes with ``scratch``."""
+    other = Scratch(spark)
+    other.path = f"{scratch.path}/other"
+    return other
 
 
 def jaccard(corpus):
