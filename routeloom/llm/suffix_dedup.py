@@ -14,6 +14,15 @@ prefix that is already known to be common. The common prefixes of neighbours
 then say, for every place that a window can start at, which suffixes agree on
 it, and the least doc_id among them.
 
+The suffixes of one k-gram go to one part. A k-gram of HOT_RUNS runs or more is
+split: of a window that starts shortly before the place the bytes up to
+RIGHT behind the place are known, of one that starts further ahead the LEFT
+bytes before it. So its suffixes go once by the hash of the former and once by
+that of the latter, each answering for its window starts only. What one part
+gets of one k-gram is thus bounded by the text of HOT_RUNS runs, unless that
+many runs share a longer string, RIGHT bytes or LEFT and a k-gram, in as many
+contexts.
+
 Defined results: null text is empty; a null doc_id comes after all others and
 nulls are equal among themselves; documents of one doc_id don't count against
 each other; matches never cross documents; a very long text is held whole by
@@ -34,6 +43,11 @@ from ._common import Scratch, settle
 WINDOW = 50
 GRAM = 16
 KINDS, SUFFIXES = 0, 1
+#: From how many runs on the suffixes of a k-gram are split.
+HOT_RUNS = 8
+#: Windows that start at most NEAR bytes before the place, and what is known of these and of the others.
+NEAR = 17
+RIGHT, LEFT = WINDOW - NEAR, NEAR + 1
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -64,16 +78,32 @@ def sampled(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
     return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
 
 
-def repeated(docs: R.Documents, heard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sampled places whose k-gram another run has, or another document of this one."""
+def spread(_: np.ndarray, bodies: R.Bodies) -> pa.BinaryArray:
+    """Replies: for each k-gram how many runs have it, 255 at most."""
+    return R.packed(bodies.sizes(np.uint32), np.minimum(R.runs_with(bodies.joined(np.uint32)), 255).astype(np.uint8))
+
+
+def repeated(docs: R.Documents, heard: dict, hot_runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sampled places whose k-gram another run has, or another document of this one, and whether ``hot_runs`` runs have it."""
     doc, place, h = sampled(docs.texts)
     keys, inverse = np.unique(h, return_inverse=True)
-    again = R.heard_flags(keys, heard, KINDS)
+    runs = heard[KINDS].joined(np.uint8) if KINDS in heard else np.ones(len(keys), dtype=np.uint8)
+    again = runs > 1
     low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
     np.minimum.at(low, inverse, docs.rank[doc])
     np.maximum.at(high, inverse, docs.rank[doc])
     keep = (again | (low != high))[inverse]
-    return doc[keep], place[keep], h[keep]
+    return doc[keep], place[keep], h[keep], (runs >= hot_runs)[inverse][keep]
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of bytes."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), dtype=np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    out = np.zeros(len(rows), dtype=np.uint64)
+    for word in padded.view(np.uint64).T:
+        out = R.mixed(out * np.uint64(0x9E3779B97F4A7C15) + word + R.SPREAD)
+    return out
 
 
 class Suffixes:
@@ -81,12 +111,20 @@ class Suffixes:
 
     A key has the window's bytes from the place on, then the bytes before it
     backwards, then how many of either are inside the document (plus 1).
+    Parts from ``parts`` on hold split k-grams, first by the bytes behind.
     """
 
     WIDTH = WINDOW + (WINDOW - GRAM) + 2
 
-    def __init__(self, docs: R.Documents, heard: dict, parts: int):
-        self.doc, self.place, h = repeated(docs, heard)
+    def __init__(self, docs: R.Documents, heard: dict, parts: int, hot_runs: int = HOT_RUNS):
+        doc, place, h, hot = repeated(docs, heard, hot_runs)
+        # A place of a split k-gram comes twice.
+        twice = np.flatnonzero(hot)
+        row = np.concatenate([np.arange(len(doc)), twice])
+        self.doc, self.place = doc[row], place[row]
+        near, every = (1 << NEAR + 1) - 1, (1 << WINDOW - GRAM + 1) - 1
+        #: A bit for each window start that the row answers for.
+        self.answers = np.concatenate([np.where(hot, near, every), np.full(len(twice), every - near)])
         before = WINDOW - GRAM
         sizes = np.array([len(t) for t in docs.texts], dtype=np.int64)
         gap = bytes(before), bytes(WINDOW)
@@ -102,6 +140,10 @@ class Suffixes:
             keys[:, WINDOW + i] = buffer[at - 1 - i]
         keys[:, -2], keys[:, -1] = right + 1, left + 1
         part = R.part_of(h, parts)
+        part[twice] = parts + R.part_of(row_hashes(keys[twice, :RIGHT]), parts)
+        far = keys[len(doc) :]
+        far = R.part_of(row_hashes(np.concatenate([far[:, :GRAM], far[:, WINDOW : WINDOW + LEFT]], axis=1)), parts)
+        part = np.concatenate([part, 2 * parts + far])
         joined = np.ascontiguousarray(keys).view(f"S{self.WIDTH}").ravel()
         order = np.lexsort([joined, part]) if len(at) else np.zeros(0, np.int64)
         joined, part = joined[order], part[order]
@@ -284,19 +326,19 @@ def answer_suffixes(_: np.ndarray, bodies: R.Bodies) -> pa.Array:
     return pa.array([pack.compress(in_order[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], pa.binary())
 
 
-def removed_bytes(docs: R.Documents, heard: dict, parts: int) -> np.ndarray:
+def removed_bytes(docs: R.Documents, heard: dict, parts: int, hot_runs: int = HOT_RUNS) -> np.ndarray:
     """Which bytes of the run's texts, joined, go."""
     import zstandard
 
     sizes = np.array([len(t) for t in docs.texts], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
     starts = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
-    own = Suffixes(docs, heard, parts)
+    own = Suffixes(docs, heard, parts, hot_runs)
     if len(own.doc):
         bits = np.empty(len(own.keys), dtype=np.int64)
         for where, body in zip(own.slices()[1], heard[SUFFIXES].values()):
             bits[where] = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype=np.int64)
-        own_bits = bits[own.suffix]
+        own_bits = bits[own.suffix] & own.answers
         # An equal suffix in a smaller doc_id of this run: every window counts.
         later = docs.rank[own.doc] > own.least[own.suffix]
         for start in range(WINDOW - GRAM + 1):
@@ -335,11 +377,12 @@ def emit(docs: R.Documents, gone: np.ndarray, table: pa.Table, with_rest: bool)
     return pa.table(columns, names)
 
 
-def remove_repeats(scratch: Scratch, docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
+def remove_repeats(scratch: Scratch, docs: DataFrame, rest: list[str] | None = None, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes), kept (the remaining bytes), [rest] of every document.
 
     With ``rest`` (columns that travel along as one struct) what is left of a
     character that was cut goes too, so that ``kept`` is text.
+    ``hot_runs``: from how many runs on a k-gram's suffixes are split.
     The frame reads tables of ``scratch``: settle or write it before they go.
     """
     staged = R.Runs(scratch, docs, rest=rest)
@@ -350,11 +393,11 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rest: list[str] | None = N
         return R.sent(keys, R.short_key(keys), parts)
 
     def send(own: R.Documents, heard: dict, _: int):
-        found = Suffixes(own, heard, parts)
+        found = Suffixes(own, heard, parts, hot_runs)
         numbers, places = found.slices()
         return numbers, pa.array([front_coded(found.keys[where], found.least[where]) for where in places], pa.binary())
 
-    grams = staged.ask("grams", ask_grams, R.shared, KINDS)
+    grams = staged.ask("grams", ask_grams, spread, KINDS)
     suffixes = staged.ask("suffixes", send, answer_suffixes, SUFFIXES, grams)
     schema = OUT
     if rest:
@@ -362,7 +405,7 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rest: list[str] | None = N
 
     def finish(_: int, table: pa.Table, heard: dict) -> pa.Table:
         own = R.Documents(table)
-        return emit(own, removed_bytes(own, heard, parts), table, bool(rest))
+        return emit(own, removed_bytes(own, heard, parts, hot_runs), table, bool(rest))
 
     return staged.visit(finish, schema, grams.unionByName(suffixes))
 

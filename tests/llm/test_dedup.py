@@ -16,7 +16,8 @@ def rank(doc):
     return LAST if doc is None else doc
 
 
-def test_suffix_dedup(spark, corpus, documents, run_bytes):
+@pytest.mark.parametrize("hot_runs", [2, 8])
+def test_suffix_dedup(spark, corpus, documents, run_bytes, hot_runs):
     window, least = 50, {}
     for doc, text in corpus:
         b = (text or "").encode()
@@ -32,7 +33,7 @@ def test_suffix_dedup(spark, corpus, documents, run_bytes):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want.append((doc, len(b), sum(gone), sum(1 for s in bytes(gone).split(b"\0") if s), hashlib.sha256(kept).hexdigest()))
     with Scratch(spark) as scratch:
-        rows = suffix_dedup.remove_repeats(scratch, documents).collect()
+        rows = suffix_dedup.remove_repeats(scratch, documents, hot_runs=hot_runs).collect()
     got = [(r.doc_id, r.n_bytes, sum(s.length for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
 
@@ -161,6 +162,32 @@ def test_ngram_join_counts_every_link(spark, corpus, documents, run_bytes, monke
     assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in rows], key=str) == sorted(want, key=str)
 
 
+def test_suffixes_of_one_gram_go_to_many_parts():
+    """Every document holds the same line of 30 characters, each in a context of its own."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    random.seed(3)
+    parts, runs = 20, []
+    for run in range(10):
+        around = ["".join(random.choices("abcdefghij", k=80)) for _ in range(400)]
+        texts = [a[:40] + "one line that all texts hold." + a[40:] for a in around]
+        runs.append(runs_module.Documents(pa.table({"doc_id": pa.array(range(run, 4000, 10)), "text": texts})))
+    keys = [np.unique(suffix_dedup.sampled(docs.texts)[2]) for docs in runs]
+    n_runs = collections.Counter(k for own in keys for k in own.tolist())
+    largest = {}
+    for hot_runs in (8, 999):
+        sizes = np.zeros(3 * parts, dtype=np.int64)
+        for docs, own in zip(runs, keys):
+            heard = runs_module.packed(np.array([len(own)]), np.array([n_runs[k] for k in own.tolist()], dtype=np.uint8))
+            found = suffix_dedup.Suffixes(docs, {suffix_dedup.KINDS: runs_module.Bodies(heard)}, parts, hot_runs)
+            sizes += np.bincount(found.part, minlength=3 * parts)
+        largest[hot_runs] = sizes.max() / (sizes.sum() / (sizes > 0).sum())
+    assert largest[8] < 2 < 5 < largest[999]
+
+
 def test_loser_tree():
     import random
 
